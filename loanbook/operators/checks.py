@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from loanbook.config import DEFAULT, TapeConfig
 from loanbook.functions.expressions import pct, rank_of, rnd, rows
 from loanbook.operators.portfolio import (
-    ALL_GROUPS,
     DPD_ORDER,
+    all_groups,
     as_year,
     balance,
     delinquency_rate,
@@ -335,7 +335,7 @@ def quality_status(loans: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
 
 
 def _distribution(grouped: DataFrame, key: str, digits: int) -> DataFrame:
-    return grouped.withColumn("pct", pct(F.col("loans"), F.sum("loans").over(ALL_GROUPS), digits)).select(
+    return grouped.withColumn("pct", pct(F.col("loans"), F.sum("loans").over(all_groups()), digits)).select(
         *[c for c in grouped.columns if c == key], "loans", "pct", *[c for c in grouped.columns if c.startswith("_")]
     )
 

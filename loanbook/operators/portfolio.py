@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loanbook.functions.expressions import pct, rank_of, rnd, rows
@@ -15,9 +15,11 @@ PROFILE_COLUMNS = (
     "property_state", "orig_interest_rate", "payment_history", "current_credit_score",
 )
 
-# Grouped frames hold one row per state, bucket or vintage, so a window over
-# all of them is a handful of rows.
-ALL_GROUPS = Window.partitionBy()
+
+def all_groups() -> WindowSpec:
+    """A window over every row of a grouped frame: one row per state, bucket
+    or vintage, so a handful of rows."""
+    return Window.partitionBy()
 
 
 def n_loans() -> Column:
@@ -144,7 +146,7 @@ def delinquency_distribution(loans: DataFrame) -> DataFrame:
         "dpd_bucket",
         "loans",
         "total_upb",
-        pct(F.col("loans"), F.sum("loans").over(ALL_GROUPS), 2).alias("pct_of_portfolio"),
+        pct(F.col("loans"), F.sum("loans").over(all_groups()), 2).alias("pct_of_portfolio"),
     ).orderBy(rank_of("dpd_bucket", DPD_ORDER), "dpd_bucket")
 
 
@@ -261,32 +263,38 @@ def vintage_comparison(loans: DataFrame) -> DataFrame:
     )
 
 
-def geographic(loans: DataFrame) -> DataFrame:
-    """Performance per state with its share of loans and of balance."""
+def state_table(loans: DataFrame) -> DataFrame:
+    """Performance per state with its shares, next to the delinquency rate of
+    the whole portfolio (``avg_dlq``, which includes loans without a state)."""
     upb = F.sum("current_upb")
-    grouped = (
-        loans.filter(F.col("property_state").isNotNull())
-        .groupBy("property_state")
-        .agg(
-            n_loans().alias("loans"),
-            upb.alias("_upb"),
-            balance(3, 1e9).alias("upb_billions"),
-            delinquency_rate().alias("dlq_rate_pct"),
-            serious_rate().alias("serious_dlq_pct"),
-            mean("credit_score").alias("avg_fico"),
-            mean("orig_interest_rate", 3).alias("avg_rate"),
-            mean("ltv", 1).alias("avg_ltv"),
-        )
+    grouped = loans.groupBy("property_state").agg(
+        n_loans().alias("loans"),
+        upb.alias("_upb"),
+        F.sum("is_delinquent").alias("_dlq"),
+        balance(3, 1e9).alias("upb_billions"),
+        delinquency_rate().alias("dlq_rate_pct"),
+        serious_rate().alias("serious_dlq_pct"),
+        mean("credit_score").alias("avg_fico"),
+        mean("orig_interest_rate", 3).alias("avg_rate"),
+        mean("ltv", 1).alias("avg_ltv"),
     )
-    return (
-        grouped.select(
-            "*",
-            pct(F.col("loans"), F.sum("loans").over(ALL_GROUPS), 2).alias("pct_of_portfolio"),
-            pct(F.col("_upb"), F.sum("_upb").over(ALL_GROUPS), 2).alias("pct_of_upb"),
-        )
-        .drop("_upb")
-        .orderBy(F.desc("dlq_rate_pct"), "property_state")
+    known = F.col("property_state").isNotNull()
+
+    def total(c: str) -> Column:
+        return F.sum(F.when(known, F.col(c))).over(all_groups())
+
+    shared = grouped.select(
+        "*",
+        pct(F.col("loans"), total("loans"), 2).alias("pct_of_portfolio"),
+        pct(F.col("_upb"), total("_upb"), 2).alias("pct_of_upb"),
+        pct(F.sum("_dlq").over(all_groups()), F.sum("loans").over(all_groups()), 2).alias("avg_dlq"),
     )
+    return shared.filter(known).drop("_upb", "_dlq")
+
+
+def geographic(loans: DataFrame) -> DataFrame:
+    """Performance per state with its share of loans and of balance."""
+    return state_table(loans).drop("avg_dlq").orderBy(F.desc("dlq_rate_pct"), "property_state")
 
 
 DETAIL_COLUMNS = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanbook.operators import portfolio as P
@@ -73,7 +74,8 @@ def export_page(
         write_result(evaluation, f"{folder}/evaluation", "json")
         written.append("evaluation")
     if segments is not None:
-        write_result(segments.limit(PAGE_SEGMENTS), f"{folder}/risk_segments", "json")
+        first = segments.filter(F.col("position") <= PAGE_SEGMENTS).orderBy("position")
+        write_result(first, f"{folder}/risk_segments", "json")
         written.append("risk_segments")
     return written
 

@@ -71,3 +71,102 @@ def loans(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFr
     if stored:
         return spark.read.parquet(stored)
     return derive_columns(null_sentinels(tape(spark, sf_dir).drop("row_key"), cfg), cfg)
+
+
+# -- raw text with planted defects ---------------------------------------------
+
+# What is wrong with some rows of the raw tape. ``{v}`` is the
+# clean text of the column.
+DEFECTS: dict[str, str] = {
+    "credit_score": "CASE row_key % 997 WHEN 1 THEN 'abc' WHEN 2 THEN '1d' WHEN 3 THEN 'nan' WHEN 4 THEN ' 700 ' WHEN 5 THEN '' WHEN 6 THEN '0' ELSE {v} END",
+    "dti": "CASE row_key % 499 WHEN 1 THEN 'n/a' WHEN 2 THEN '1_0' ELSE {v} END",
+    "orig_date": "CASE row_key % 613 WHEN 1 THEN concat(substring({v},1,4),'13') WHEN 2 THEN concat(substring({v},1,4),'00') WHEN 3 THEN substring({v},1,4) WHEN 4 THEN '' ELSE {v} END",
+    "delinquency_status": "CASE row_key % 701 WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN ' 04 ' WHEN 4 THEN 'X' ELSE {v} END",
+    "orig_interest_rate": "CASE row_key % 811 WHEN 1 THEN '3.4995' WHEN 2 THEN '7..1' ELSE {v} END",
+    "property_state": "CASE row_key % 907 WHEN 1 THEN '  ' ELSE {v} END",
+    "current_ib_upb": "CASE row_key % 1013 WHEN 1 THEN '-5.25' ELSE {v} END",
+}
+FLAT_FILE = "concat(pool_prefix,'_lld.txt')"
+# One file whose lines are too short for the schema, one of blank lines.
+SHORT_FILE, BLANK_FILE = "00short_lld.txt", "00blank_lld.txt"
+RECORD_FILE = "concat(pool_prefix,'_records_lld.txt')"
+
+
+def raw_tape(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFrame:
+    """All 90 columns as tape text, defects included; unset fields are empty."""
+    whole_numbers = set(cfg.names_of("int"))
+    typed = tape(spark, sf_dir)
+
+    def text(name: str):
+        if name not in typed.columns:
+            return F.lit("").alias(name)
+        value = F.col(name)
+        if name in whole_numbers:
+            value = value.cast("long")
+        return F.coalesce(value.cast("string"), F.lit("")).alias(name)
+
+    texts = typed.select("row_key", *[text(n) for n in cfg.names])
+    return texts.select(
+        "row_key",
+        *[
+            F.expr(DEFECTS[n].replace("{v}", n)).alias(n) if n in DEFECTS else F.col(n)
+            for n in cfg.names
+        ],
+    )
+
+
+def flat_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFrame:
+    """Lines of flat tape files, one file per pool, with lines that are too
+    short, too long or blank, and two files that cannot be loaded."""
+    raw = raw_tape(spark, sf_dir, cfg)
+    line = F.concat_ws("|", *[F.col(n) for n in cfg.names])
+    names = cfg.names
+    key = F.col("row_key")
+    value = (
+        F.when(key % 500 == 0, "   ")
+        .when(key % 50 == 0, F.concat_ws("|", *[F.col(n) for n in names[:60]]))
+        .when(key % 1009 == 7, "")
+        .when(key % 97 == 3, F.concat_ws("|", *[F.col(n) for n in names[:87]]))
+        .when(key % 101 == 5, F.concat_ws("|", *[F.col(n) for n in names[:88]]))
+        .when(key % 89 == 4, F.concat(line, F.lit("|x|x|x|x|x")))
+        .otherwise(line)
+    )
+    file = F.when(key % 500 == 0, BLANK_FILE).when(key % 50 == 0, SHORT_FILE).otherwise(F.expr(FLAT_FILE))
+    return raw.select(file.alias("file"), key.alias("line_order"), value.alias("value"))
+
+
+def record_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFrame:
+    """Lines of record-type files: headers, repeated records (the last one
+    wins) and originations without a performance record."""
+    raw = raw_tape(spark, sf_dir, cfg)
+    key = F.col("row_key")
+
+    def record(kind: str, layout: dict[int, str], **changed: str):
+        fields = [F.lit(kind)]
+        for i in range(1, max(layout) + 1):
+            if i == 1:
+                fields.append(F.col("loan_id"))
+            elif i not in layout:
+                fields.append(F.lit(""))
+            elif layout[i] in changed:
+                fields.append(F.lit(changed[layout[i]]))
+            else:
+                fields.append(F.col(layout[i]))
+        return F.concat_ws("|", *fields)
+
+    origination, performance = cfg.origination_record, cfg.performance_record
+    slots = [
+        (key % 1000 == 0, F.lit("10|HEADER")),
+        (key % 19 == 0, record("50", performance, delinquency_status="09")),
+        (F.lit(True), record("20", origination)),
+        (key % 13 != 0, record("50", performance)),
+        (key % 17 == 0, record("20", origination, property_state="ZZ")),
+    ]
+    entries = F.array(
+        *[
+            F.struct((key * 8 + slot).alias("line_order"), F.when(present, value).alias("value"))
+            for slot, (present, value) in enumerate(slots)
+        ]
+    )
+    exploded = raw.select(F.expr(RECORD_FILE).alias("file"), F.explode(entries).alias("line"))
+    return exploded.select("file", "line.line_order", "line.value").filter(F.col("value").isNotNull())

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 # Characters a text strip removes at both ends.
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INFINITY_PATTERN = r"(?i)^[+-]?inf(inity)?$"
+NUMBER_PATTERN = r"(?i)^[+-]?(inf(inity)?|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+(_[0-9]+)*$"
 
 
@@ -54,9 +53,7 @@ def to_number(c: Column | str) -> Column:
 
     A bare cast is too generous: it reads ``1d`` as 1.0 and ``nan`` as NaN."""
     text = _col(c)
-    plain = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    infinite = F.when(text.rlike(INFINITY_PATTERN), F.when(text.startswith("-"), float("-inf")).otherwise(float("inf")))
-    return F.coalesce(plain, infinite)
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def integer_text(c: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanbook.config import DEFAULT, TapeConfig
+from loanbook.functions.ordered import checkpointed
 from loanbook.operators.clean import derive_columns, null_sentinels
 
 # Set to the path of a stored loan table to query it instead of deriving one.
@@ -117,7 +118,9 @@ def raw_tape(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> Dat
 
 def flat_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFrame:
     """Lines of flat tape files, one file per pool, with lines that are too
-    short, too long or blank, and two files that cannot be loaded."""
+    short, too long or blank, and two files that cannot be loaded.
+
+    The lines are written down, as tapes are: what follows reads them."""
     raw = raw_tape(spark, sf_dir, cfg)
     line = F.concat_ws("|", *[F.col(n) for n in cfg.names])
     names = cfg.names
@@ -132,7 +135,7 @@ def flat_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> D
         .otherwise(line)
     )
     file = F.when(key % 500 == 0, BLANK_FILE).when(key % 50 == 0, SHORT_FILE).otherwise(F.expr(FLAT_FILE))
-    return raw.select(file.alias("file"), key.alias("line_order"), value.alias("value"))
+    return checkpointed(raw.select(file.alias("file"), key.alias("line_order"), value.alias("value")))
 
 
 def record_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFrame:
@@ -169,4 +172,5 @@ def record_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) ->
         ]
     )
     exploded = raw.select(F.expr(RECORD_FILE).alias("file"), F.explode(entries).alias("line"))
-    return exploded.select("file", "line.line_order", "line.value").filter(F.col("value").isNotNull())
+    lines = exploded.select("file", "line.line_order", "line.value").filter(F.col("value").isNotNull())
+    return checkpointed(lines)

@@ -28,6 +28,12 @@ def rnd(c: Column | str, digits: int = 0) -> Column:
     return F.round(value * scale) / scale
 
 
+def settled(c: Column | str) -> Column:
+    """A sum or mean of fractions without its last bits, which depend on the
+    order of addition; keeps a later rounding from flipping at a tie."""
+    return F.round(_col(c).cast("double"), 9)
+
+
 def rnd_even(c: Column | str, digits: int = 0) -> Column:
     """Round half to even, the rule of numeric Python libraries."""
     scale = F.lit(float(10**digits))

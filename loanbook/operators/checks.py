@@ -18,6 +18,7 @@ from loanbook.operators.portfolio import (
     balance,
     delinquency_rate,
     mean,
+    mean_rate,
     n_loans,
 )
 
@@ -189,7 +190,7 @@ def vintage_coverage(loans: DataFrame) -> DataFrame:
             balance().alias("total_upb"),
             delinquency_rate().alias("dlq_rate_pct"),
             mean("credit_score").alias("avg_fico"),
-            mean("orig_interest_rate", 3).alias("avg_rate"),
+            mean_rate().alias("avg_rate"),
         )
         .orderBy("orig_year")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from loanbook.functions.expressions import pct, rank_of, rnd, rows
+from loanbook.functions.expressions import pct, rank_of, rnd, rows, settled
 from loanbook.functions.history import WINDOW_MONTHS, has_history, last_year, state_label
 
 DPD_ORDER = ("Current", "30_DPD", "60_DPD", "90_DPD", "120_Plus_DPD", "REO_Acquired")
@@ -43,6 +43,10 @@ def mean(column: str, digits: int = 0) -> Column:
     return rnd(F.avg(column), digits)
 
 
+def mean_rate(digits: int = 3) -> Column:
+    return rnd(settled(F.avg("orig_interest_rate")), digits)
+
+
 def share_where(condition: Column, digits: int) -> Column:
     return pct(F.count_if(condition), n_loans(), digits)
 
@@ -92,7 +96,7 @@ def _cells(loans: DataFrame, *keys: str) -> DataFrame:
 
 def _rolled_mean(column: str, digits: int) -> Column:
     count = F.nullif(F.sum(f"{column}_n").cast("double"), F.lit(0.0))
-    return rnd(F.sum(f"{column}_sum") / count, digits)
+    return rnd(settled(F.sum(f"{column}_sum") / count), digits)
 
 
 def portfolio_summary(loans: DataFrame) -> DataFrame:
@@ -198,7 +202,7 @@ def risk_segmentation(loans: DataFrame, min_loans: int = 20) -> DataFrame:
             delinquency_rate().alias("dlq_rate_pct"),
             serious_rate().alias("serious_dlq_pct"),
             mean("credit_score").alias("avg_fico"),
-            mean("orig_interest_rate", 3).alias("avg_rate"),
+            mean_rate().alias("avg_rate"),
             mean("loan_age").alias("avg_loan_age"),
         )
         .filter(F.col("loans") >= min_loans)
@@ -223,7 +227,7 @@ def paydown(loans: DataFrame) -> DataFrame:
             rnd(original - current).alias("total_paydown"),
             pct(original - current, original, 2).alias("paydown_pct"),
             mean("loan_age").alias("avg_loan_age_months"),
-            mean("orig_interest_rate", 3).alias("avg_rate"),
+            mean_rate().alias("avg_rate"),
         )
         .withColumn("orig_year", as_year("_year"))
         .drop("_year")
@@ -247,7 +251,7 @@ def vintage_comparison(loans: DataFrame) -> DataFrame:
             delinquency_rate().alias("dlq_rate_pct"),
             serious_rate().alias("serious_dlq_pct"),
             mean("credit_score").alias("avg_fico"),
-            mean("orig_interest_rate", 3).alias("avg_rate"),
+            mean_rate().alias("avg_rate"),
             mean("ltv", 1).alias("avg_ltv"),
             mean("loan_age").alias("avg_loan_age"),
             share_where(bucket == "30_DPD", 2).alias("pct_30dpd"),
@@ -275,7 +279,7 @@ def state_table(loans: DataFrame) -> DataFrame:
         delinquency_rate().alias("dlq_rate_pct"),
         serious_rate().alias("serious_dlq_pct"),
         mean("credit_score").alias("avg_fico"),
-        mean("orig_interest_rate", 3).alias("avg_rate"),
+        mean_rate().alias("avg_rate"),
         mean("ltv", 1).alias("avg_ltv"),
     )
     known = F.col("property_state").isNotNull()

@@ -211,13 +211,13 @@ ROLL = (
 _SEGMENT_SQL = (
     "SELECT credit_score_band, ltv_bucket, rate_bucket, cast(trunc(orig_year) AS INTEGER) AS orig_year, count(*) AS loans, "
     f"{_r('sum(current_upb)')} AS total_upb, {_DLQ} AS dlq_rate_pct, {_SERIOUS} AS serious_dlq_pct, "
-    f"{_r('avg(credit_score)')} AS avg_fico, {_r('avg(orig_interest_rate)', 3)} AS avg_rate, {_r('avg(loan_age)')} AS avg_loan_age "
+    f"{_r('avg(credit_score)')} AS avg_fico, {_r('round(avg(orig_interest_rate),9)', 3)} AS avg_rate, {_r('avg(loan_age)')} AS avg_loan_age "
     "FROM loans WHERE credit_score_band <> 'Unknown' AND ltv_bucket <> 'Unknown' AND orig_year IS NOT NULL "
     "GROUP BY credit_score_band, ltv_bucket, rate_bucket, orig_year HAVING count(*) >= 20"
 )
 _SUMMARY = (
     f"SELECT count(*) AS total_loans, {_r('sum(current_upb)')} AS total_upb, {_r('avg(credit_score)')} AS avg_credit_score, "
-    f"{_r('avg(orig_interest_rate)', 3)} AS avg_orig_rate, {_r('avg(ltv)', 1)} AS avg_ltv, {_DLQ} AS delinquency_rate_pct, "
+    f"{_r('round(avg(orig_interest_rate),9)', 3)} AS avg_orig_rate, {_r('avg(ltv)', 1)} AS avg_ltv, {_DLQ} AS delinquency_rate_pct, "
     f"{_SERIOUS} AS serious_dlq_rate_pct, cast(sum(is_delinquent) AS BIGINT) AS delinquent_loans, "
     "cast(sum(is_seriously_delinquent) AS BIGINT) AS seriously_delinquent_loans, min(orig_year) AS earliest_vintage, "
     "max(orig_year) AS latest_vintage, count(DISTINCT property_state) AS states_covered, "
@@ -232,7 +232,7 @@ def _share_of(bucket: str, digits: int, column: str) -> str:
 _VINTAGE = (
     f"SELECT cast(trunc(orig_year) AS INTEGER) AS orig_year, count(*) AS loans, {_r('sum(current_upb)/1e9', 2)} AS upb_billions, "
     f"{_DLQ} AS dlq_rate_pct, {_SERIOUS} AS serious_dlq_pct, {_r('avg(credit_score)')} AS avg_fico, "
-    f"{_r('avg(orig_interest_rate)', 3)} AS avg_rate, {_r('avg(ltv)', 1)} AS avg_ltv, {_r('avg(loan_age)')} AS avg_loan_age, "
+    f"{_r('round(avg(orig_interest_rate),9)', 3)} AS avg_rate, {_r('avg(ltv)', 1)} AS avg_ltv, {_r('avg(loan_age)')} AS avg_loan_age, "
     f"{_share_of('30_DPD', 2, 'dpd_bucket')} AS pct_30dpd, {_share_of('60_DPD', 2, 'dpd_bucket')} AS pct_60dpd, "
     f"{_share_of('90_DPD', 2, 'dpd_bucket')} AS pct_90dpd, {_share_of('120_Plus_DPD', 2, 'dpd_bucket')} AS pct_120plus, "
     f"{_share_of('Excellent (780+)', 1, 'credit_score_band')} AS pct_excellent, "
@@ -240,7 +240,7 @@ _VINTAGE = (
 )
 _GEO = (
     f"SELECT property_state, count(*) AS loans, {_r('sum(current_upb)/1e9', 3)} AS upb_billions, {_DLQ} AS dlq_rate_pct, "
-    f"{_SERIOUS} AS serious_dlq_pct, {_r('avg(credit_score)')} AS avg_fico, {_r('avg(orig_interest_rate)', 3)} AS avg_rate, "
+    f"{_SERIOUS} AS serious_dlq_pct, {_r('avg(credit_score)')} AS avg_fico, {_r('round(avg(orig_interest_rate),9)', 3)} AS avg_rate, "
     f"{_r('avg(ltv)', 1)} AS avg_ltv, {_pct('count(*)', 'sum(count(*)) OVER ()', 2)} AS pct_of_portfolio, "
     f"{_pct('sum(current_upb)', 'sum(sum(current_upb)) OVER ()', 2)} AS pct_of_upb "
     "FROM loans WHERE property_state IS NOT NULL GROUP BY property_state"
@@ -289,8 +289,8 @@ def _range_gate(c: str, low: float, high: float) -> str:
 _SMALL = "(SELECT count(*) FROM (SELECT pool_prefix FROM loans GROUP BY pool_prefix HAVING count(*) < 100))"
 GATES = f"{LOANS}, gates AS (" + _union([
     _gate("total_rows", "CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END", "count(*)", "concat(format('{:,}', count(*)), ' loans loaded')"),
-    _gate("duplicate_loan_ids", f"CASE WHEN {_DUPLICATES} <= 0 THEN 'PASS' ELSE 'WARN' END", _DUPLICATES,
-          f"concat(format('{{:,}}', {_DUPLICATES}), ' duplicate loan IDs (threshold: 0)')"),
+    f"SELECT 'duplicate_loan_ids', CASE WHEN d <= 0 THEN 'PASS' ELSE 'WARN' END, cast(d AS DOUBLE), "
+    f"concat(format('{{:,}}', d), ' duplicate loan IDs (threshold: 0)') FROM (SELECT {_DUPLICATES} AS d)",
     _null_gate("loan_id", 0.0, "FAIL"), _null_gate("delinquency_status", 1.0, "FAIL"),
     _null_gate("credit_score", 5.0, "WARN"), _null_gate("ltv", 5.0, "WARN"), _null_gate("current_upb", 2.0, "WARN"),
     _range_gate("credit_score", 300, 850), _range_gate("ltv", 1, 200), _range_gate("orig_interest_rate", 0.1, 15.0),
@@ -540,7 +540,7 @@ SQL: dict[str, str] = {
     "load_validation": f"WITH {GATES} SELECT * FROM gates",
     "validation_overall": f"WITH {GATES} {_OVERALL} gates",
     "vintage_coverage": f"WITH {LOANS} SELECT orig_year, count(*) AS loans, {_r('sum(current_upb)')} AS total_upb, {_DLQ} AS dlq_rate_pct, "
-    f"{_r('avg(credit_score)')} AS avg_fico, {_r('avg(orig_interest_rate)', 3)} AS avg_rate FROM loans WHERE orig_year IS NOT NULL GROUP BY orig_year",
+    f"{_r('avg(credit_score)')} AS avg_fico, {_r('round(avg(orig_interest_rate),9)', 3)} AS avg_rate FROM loans WHERE orig_year IS NOT NULL GROUP BY orig_year",
     "small_pools": f"WITH {LOANS} SELECT pool_prefix AS pool, count(*) AS loans FROM loans GROUP BY 1 HAVING count(*) < {TEST_SMALL_POOL}",
     # portfolio tables
     "null_profile": f"WITH {LOANS} " + _union([_profile(c) for c in _PROFILE]),
@@ -552,12 +552,12 @@ SQL: dict[str, str] = {
     f"{_r('sum(orig_loan_amount)')} AS total_orig_amount, {_r('sum(current_upb)')} AS total_current_upb, "
     f"{_r('sum(orig_loan_amount) - sum(current_upb)')} AS total_paydown, "
     f"{_pct('sum(orig_loan_amount) - sum(current_upb)', 'sum(orig_loan_amount)', 2)} AS paydown_pct, "
-    f"{_r('avg(loan_age)')} AS avg_loan_age_months, {_r('avg(orig_interest_rate)', 3)} AS avg_rate "
+    f"{_r('avg(loan_age)')} AS avg_loan_age_months, {_r('round(avg(orig_interest_rate),9)', 3)} AS avg_rate "
     "FROM loans WHERE orig_year IS NOT NULL AND orig_loan_amount > 0 AND current_upb >= 0 GROUP BY orig_year, rate_bucket",
     "vintage_comparison": f"WITH {LOANS} {_VINTAGE}",
     "geographic": f"WITH {LOANS} {_GEO}",
     "site_summary": f"WITH {LOANS} SELECT count(*) AS total_loans, {_r('sum(current_upb)/1e9', 1)} AS upb_billions, {_DLQ} AS dlq_rate, "
-    f"{_SERIOUS} AS serious_dlq, {_r('avg(credit_score)')} AS avg_fico, {_r('avg(orig_interest_rate)', 2)} AS avg_rate, "
+    f"{_SERIOUS} AS serious_dlq, {_r('avg(credit_score)')} AS avg_fico, {_r('round(avg(orig_interest_rate),9)', 2)} AS avg_rate, "
     "count(DISTINCT cast(trunc(orig_year) AS INTEGER)) AS vintage_count FROM loans",
     "executive_summary": f"WITH {LOANS} SELECT count(*) AS total_loans, {_r('sum(current_upb)')} AS total_upb, {_DLQ} AS dlq_rate, "
     f"{_SERIOUS} AS serious_dlq_rate, {_r('avg(credit_score)')} AS avg_fico, max(reporting_period) AS reporting_period FROM loans",

@@ -262,6 +262,7 @@ class ModelConfig:
     max_depth: int = 12
     min_leaf: int = 50
     seed: int = 42
+    cache_node_ids: bool = True
     min_target_rate: float = 0.001
     max_target_rate: float = 0.50
     leakage_correlation: float = 0.95

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # Rows one task may sort, and values one buffer may gather. Both are checked
 # before use; larger inputs take the distributed way.
 SINGLE_TASK_ROWS = 1_000_000
-GATHER_ROWS = 100_000
+GATHER_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 
 

@@ -59,8 +59,15 @@ def require_target(df: DataFrame, cfg: ModelConfig = MODEL_DEFAULT) -> None:
 def feature_correlations(encoded: DataFrame, names: Sequence[str], target: str) -> DataFrame:
     """Absolute Pearson correlation of every feature with the target, all in
     one aggregation; constant features are left out."""
+    y = F.col(target).cast("double")
+
+    def correlation(x: Column) -> Column:
+        # ``corr`` divides by zero for a constant column, an error in ANSI mode.
+        spread = F.stddev_pop(x) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.abs(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+
     one = encoded.agg(
-        *[F.abs(F.corr(F.col(f"`{c}`").cast("double"), F.col(target).cast("double"))).alias(f"c{i}") for i, c in enumerate(names)],
+        *[correlation(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(names)],
         *[(F.min(F.col(f"`{c}`")) < F.max(F.col(f"`{c}`"))).alias(f"v{i}") for i, c in enumerate(names)],
     )
     table = rows(

@@ -41,5 +41,5 @@ def run_sql(text: str, loans: DataFrame, view: str = "loans") -> DataFrame:
 def run_sql_file(path: str, loans: DataFrame, view: str = "loans") -> DataFrame:
     """The text of a SQL file, read through Spark so any storage works."""
     spark = loans.sparkSession
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     return run_sql(text, loans, view)

@@ -7,8 +7,11 @@ task ever sorts all loans.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,28 +60,15 @@ def require_target(df: DataFrame, cfg: ModelConfig = MODEL_DEFAULT) -> None:
 
 
 def feature_correlations(encoded: DataFrame, names: Sequence[str], target: str) -> DataFrame:
-    """Absolute Pearson correlation of every feature with the target, all in
-    one aggregation; constant features are left out."""
-    y = F.col(target).cast("double")
-
-    def correlation(x: Column) -> Column:
-        # ``corr`` divides by zero for a constant column, an error in ANSI mode.
-        spread = F.stddev_pop(x) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.abs(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
-
-    one = encoded.agg(
-        *[correlation(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(names)],
-        *[(F.min(F.col(f"`{c}`")) < F.max(F.col(f"`{c}`"))).alias(f"v{i}") for i, c in enumerate(names)],
-    )
-    table = rows(
-        one,
-        [
-            {"feature": F.lit(c), "correlation": F.col(f"c{i}"), "_varies": F.col(f"v{i}")}
-            for i, c in enumerate(names)
-        ],
-    )
-    usable = F.col("_varies") & F.col("correlation").isNotNull() & ~F.isnan("correlation")
-    return table.filter(usable).drop("_varies")
+    """Absolute Pearson correlation of every feature with the target, from one
+    distributed pass. Constant features and those with missing values have
+    none and are left out."""
+    values = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in [*names, target]]
+    vectors = encoded.select(array_to_vector(F.array(*values)).alias("values"))
+    # One row and column per feature, whatever the number of loans.
+    with_target = Correlation.corr(vectors, "values").first()[0].toArray()[-1]
+    pairs = [(c, abs(float(r))) for c, r in zip(names, with_target) if not math.isnan(r)]
+    return encoded.sparkSession.createDataFrame(pairs, "feature string, correlation double")
 
 
 def leakage_check(

@@ -117,7 +117,7 @@ def test_plans_stay_in_the_engine(spark):
     # One scan of the orders, whatever the number of checks.
     for build in (portfolio.null_profile, checks.completeness, checks.validity):
         assert plan(build(table)).count("/orders.parquet]") == 1
-    assert plan(checks.load_validation(table)).count("/orders.parquet]") == 2
+    assert plan(checks.load_validation(table)).count("/orders.parquet]") <= 2
 
 
 def test_stored_table_is_pruned(spark, loans, tmp_path):

@@ -162,8 +162,7 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = [r["file"] for r in layouts.filter("matches_schema").select("file").collect()]
     usable_lines = lines.filter(F.col("file").isin(usable))
     counts = checkpointed(etl.load_counts(clean.clean(tape.parse_flat(usable_lines))))
-    skipped = tape.flat_rejects(usable_lines).groupBy("file").agg(F.sum("lines").alias("rows_skipped"))
-    return etl.manifest(layouts, counts, skipped)
+    return etl.manifest(layouts, counts)
 
 
 def load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,4 +49,4 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of the whole text in order; an empty array for a null, empty or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -108,9 +108,11 @@ def permute(index: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray
     return value.astype(np.int64)
 
 
-@F.pandas_udf("long")
-def _permuted(index: pd.Series, count: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series(permute(index.to_numpy(), count.to_numpy(), key.to_numpy()))
+def permuted(index: Column, count: Column, key: Column) -> Column:
+    def run(index: pd.Series, count: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(permute(index.to_numpy(), count.to_numpy(), key.to_numpy()))
+
+    return F.pandas_udf(run, "long")(index, count, key)
 
 
 def pack(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
@@ -155,7 +157,7 @@ def fill(rows: DataFrame, settings: MixSettings = MixSettings()) -> tuple[DataFr
     number = drawn.select("shard", "source_no", "blocks", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("slots") - 1)).alias("slot"))
     number = number.withColumn("round", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
     key = F.xxhash64("source_no", "round", F.lit(settings.seed))
-    slots = number.select("shard", "slot", "source_no", "round", _permuted(F.pmod("slot", "blocks"), "blocks", key).alias("index"))
+    slots = number.select("shard", "slot", "source_no", "round", permuted(F.pmod("slot", "blocks"), F.col("blocks"), key).alias("index"))
 
     names = sources.select(F.col("source").alias("_source"), "source_no")
     placed = pack(rows.filter("size > 0"), settings).join(names, F.col("source").eqNullSafe(F.col("_source")))

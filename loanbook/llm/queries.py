@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanbook.llm import bpe, mixing, syncmers, toxicity
+from loanbook.llm import bpe, mixing, pii, syncmers, toxicity
 from loanbook.llm.common import table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = syncmers.compare_with_next(table(spark, sf_dir, "documents"))
     return compared.select(
@@ -46,5 +51,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_syncmers, op6_toxicity, op7_mixing, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_syncmers, op6_toxicity, op7_mixing, op9_bpe)}
 SQL: dict[str, str] = {}

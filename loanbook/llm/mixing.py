@@ -167,7 +167,8 @@ def fill(rows: DataFrame, settings: MixSettings = MixSettings()) -> tuple[DataFr
         "row", "source_no", "index",
         F.greatest(F.lit(0).cast("long"), F.col("index") * block - first).alias("word_from"),
         F.least(size, (F.col("index") + 1) * block - first).alias("word_to"))
-    return sources.select("source", "source_size", "target"), slots.join(blocks, ["source_no", "index"])
+    # Unfolded slots are far more than the few draws that the planner judges their size by: never broadcast them.
+    return sources.select("source", "source_size", "target"), slots.hint("merge").join(blocks, ["source_no", "index"])
 
 
 def mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanbook.llm import bpe, mixing, pii, syncmers, toxicity
+from loanbook.llm import bpe, lsh_forest, mixing, pii, syncmers, toxicity
 from loanbook.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_toxicity(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir).select("doc_id", "held_out", "score", "predicted")
 
@@ -51,5 +56,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_syncmers, op6_toxicity, op7_mixing, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op3_syncmers, op4_lsh_forest, op6_toxicity, op7_mixing, op9_bpe)}
 SQL: dict[str, str] = {}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanbook.llm import bpe, lsh_forest, mixing, pii, syncmers, toxicity
-from loanbook.llm.common import table
+from loanbook.llm import ann, bpe, lsh_forest, mixing, pii, syncmers, toxicity, url_filter, warc_audit
+from loanbook.llm.common import staged, table
+from loanbook.llm.oracle import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def tokenizer_path() -> str:
@@ -31,6 +34,10 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_toxicity(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir).select("doc_id", "held_out", "score", "predicted")
 
@@ -48,6 +55,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica with planted damage: by the digest of the id, one record in 64 is gone and one in 64 has another
+    first payload character."""
+    pages = table(spark, sf_dir, "pages")
+
+    def held(key: Column, record: Column) -> Column:
+        drawn = F.substring(F.md5(key.cast("string").cast("binary")), 1, 2)
+        at = F.instr(record, F.lit("\r\n\r\n")) + 4
+        changed = F.concat(F.substring(record, F.lit(1), at - 1), F.lit("~"), F.substring(record, at + 1, F.length(record)))
+        return F.when(drawn.isin("00", "01", "02", "03"), F.lit(None).cast("string")).when(drawn.isin("10", "11", "12", "13"), changed).otherwise(record)
+
+    good = staged(warc_audit.catalogue(pages), "warc-catalogue")
+    faults = warc_audit.audit(good, warc_audit.catalogue(pages, held=held))
+    known = good.select(F.col("key").alias("page_id"), "file", "offset", "length")
+    return faults.join(known, ["file", "offset"], "left").select("page_id", "file", "offset", "length", "fault", "digest", "copy_digest")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()
     encoded = bpe.encode(docs, path).select(
@@ -56,5 +80,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_syncmers, op4_lsh_forest, op6_toxicity, op7_mixing, op9_bpe)}
-SQL: dict[str, str] = {}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_syncmers, op4_lsh_forest, op5_url_filter, op6_toxicity, op7_mixing, op8_warc_audit, op9_bpe, op10_ann)}

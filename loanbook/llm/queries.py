@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanbook.llm import ann, bpe, lsh_forest, mixing, pii, syncmers, toxicity, url_filter, warc_audit
+from loanbook.llm import ann, bpe, lsh_forest, mixing, passages, pii, syncmers, toxicity, url_filter, warc_audit
 from loanbook.llm.common import staged, table
 from loanbook.llm.oracle import SQL
 
@@ -23,6 +23,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = syncmers.compare_with_next(table(spark, sf_dir, "documents"))
     return compared.select(
@@ -84,4 +88,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_syncmers, op4_lsh_forest, op5_url_filter, op6_toxicity, op7_mixing, op8_warc_audit, op9_bpe, op10_ann)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_passages, op3_syncmers, op4_lsh_forest, op5_url_filter, op6_toxicity, op7_mixing, op8_warc_audit, op9_bpe, op10_ann)}

@@ -4,12 +4,13 @@ Each document is the set of its distinct word shingles. Equal sets form a class,
 holds ``SYMBOLS`` MinHash values; each of ``TREES`` orders sorts the classes by the signature read from another place on,
 so that neighbours share the longest prefixes. A class is compared with its ``WIDTH`` neighbours in each order: where few
 share a symbol that reaches to depth one, where many do only as deep as the order separates them. A first pass over
-signatures alone marks the classes that have a similar neighbour at all; full sets are then made for those, and a second
-pass confirms links on the sets. Orders are dealt by ranges of whole signatures, so a crowd of near copies is many tasks.
+signatures alone finds the pairs that may be linked; full sets are then made for their classes, and each pair is confirmed
+on them. Orders are dealt by ranges of whole signatures, so a crowd of near copies is many tasks.
 
-Classes in crowds, that is with more than ``WIDTH`` similar ones around them, go through further passes with fresh hash
-functions, in which only classes of different components are compared, until two passes in a row bring no new link. A
-link between two texts is lost only if all orders of all passes keep them apart.
+Classes in crowds, that is with more than ``CROWD`` similar ones after them in an order, are not paired one by one: they
+take their sets along into the orders, where neighbours are compared unless they are connected already. Passes with fresh
+hash functions follow, in which only classes of different components are compared, until two in a row bring no new link.
+A link between two texts is lost only if all orders of all passes keep them apart.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from loanbook.llm.components import components
 TREES = 12
 STEP = 6  # symbols between the beginnings of two orders
 SYMBOLS = TREES * STEP
-WIDTH = 32
+WIDTH = 64
+CROWD = 8
+CROWD_WIDTH = 256
+CROWD_STEP = 12  # fewer orders for classes that take their sets along; the passes are repeated instead
 LEAST_EQUAL = 45  # of the symbols; a pair of similarity 0.85 stays below with probability 1e-7
 CHUNK = 8192  # shingles hashed at once
 
@@ -86,17 +90,17 @@ def sketched(docs: DataFrame, like: Likeness, seed: int = 0) -> DataFrame:
                 names.append(set_name(own))
                 signs.append(signature(own, seed) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(signs, pa.binary())],
+                [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())],
                 ["row", "doc_id", "n_shingles", "set_id", "sig"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row string, doc_id long, n_shingles long, set_id string, sig binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row string, doc_id long, n_shingles long, set_id binary, sig binary")
 
 
-def _orders(classes: DataFrame) -> DataFrame:
+def _orders(classes: DataFrame, step: int) -> DataFrame:
     """Each class once per order: the tree, and the signature rotated to the tree's beginning."""
-    rotated = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(
+    rotated = F.transform(F.sequence(F.lit(0), F.lit(SYMBOLS // step - 1)), lambda t: F.struct(
         t.alias("tree"),
-        F.concat(F.substring("sig", t * (2 * STEP) + 1, F.lit(2 * SYMBOLS)), F.substring("sig", F.lit(1), t * (2 * STEP))).alias("key")))
+        F.concat(F.substring("sig", t * (2 * step) + 1, F.lit(2 * SYMBOLS)), F.substring("sig", F.lit(1), t * (2 * step))).alias("key")))
     dealt = classes.withColumn("_o", F.explode(rotated)).select("*", "_o.tree", "_o.key").drop("_o", "sig")
     n = partitions(classes.sparkSession)
     return dealt.repartitionByRange(n, "tree", "key", "set_id").sortWithinPartitions("tree", "key", "set_id")
@@ -118,8 +122,8 @@ def _near(keys: np.ndarray, trees: np.ndarray, sizes: np.ndarray, by: int, like:
     return open_[equal >= LEAST_EQUAL]
 
 
-def similar_classes(classes: DataFrame, like: Likeness) -> DataFrame:
-    """set_id of the classes that have a similar neighbour in some order."""
+def similar_pairs(classes: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of classes that may be linked; with b null, a class in a crowd, whose pairs are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, trees, sizes, names = np.empty((0, SYMBOLS), ">u2"), np.empty(0, np.int32), np.empty(0, np.int64), []
@@ -128,67 +132,75 @@ def similar_classes(classes: DataFrame, like: Likeness) -> DataFrame:
             trees = np.concatenate([trees, batch.column("tree").to_numpy()])
             sizes = np.concatenate([sizes, batch.column("n_shingles").to_numpy()])
             names = [*names, *batch.column("set_id").to_pylist()]
-            found: set[int] = set()
-            for by in range(1, min(WIDTH, len(names) - 1) + 1):
-                near = _near(keys, trees, sizes, by, like)
-                found.update(near.tolist(), (near + by).tolist())
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in found], pa.string())], ["set_id"])
+            found = [(i, i + by) for by in range(1, min(WIDTH, len(names) - 1) + 1) for i in _near(keys, trees, sizes, by, like).tolist()]
+            after = np.bincount([i for i, _ in found], minlength=len(names)) if found else np.zeros(len(names), np.int64)
+            crowd = {x for pair in found if after[pair[0]] > CROWD for x in pair}
+            rows = [(min(names[i], names[j]), max(names[i], names[j])) for i, j in found if after[i] <= CROWD] + [(names[i], None) for i in crowd]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
             keys, trees, sizes, names = keys[-WIDTH:], trees[-WIDTH:], sizes[-WIDTH:], names[-WIDTH:]
 
-    return _orders(classes.select("set_id", "n_shingles", "sig")).mapInArrow(run, "set_id string").distinct()
+    return _orders(classes.select("set_id", "n_shingles", "sig"), STEP).mapInArrow(run, "a binary, b binary").distinct()
 
 
-def confirmed_links(classes: DataFrame, like: Likeness) -> DataFrame:
-    """Links (a, b, crowded) found by the orders and confirmed on full sets; ``classes`` has (set_id, sig, shingles, root).
+def _linked(a: np.ndarray, b: np.ndarray, like: Likeness) -> bool:
+    common = len(a) + len(b) - len(np.union1d(a, b))
+    return like.whole * common >= like.part * (len(a) + len(b) - common)
 
-    Classes that share a root already, or were linked within the task, are not compared again. A row with b null only
-    says that a is crowded: more than half of its neighbours to one side are similar to it."""
+
+def confirmed_pairs(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) that are linked by their full sets."""
+    one = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a"))
+    two = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("set_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_linked(np.asarray(x.values), np.asarray(y.values), like) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+
+
+def crowd_links(classes: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) between neighbours in the orders, confirmed on full sets; ``classes`` has (set_id, sig, shingles, root).
+
+    Classes that share a root already, or were linked within the task, are not compared again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, trees, names, sets = np.empty((0, SYMBOLS), ">u2"), np.empty(0, np.int32), [], []
-        roots: list[str] = []
-        parent: dict[str, str] = {}
+        roots: list[bytes] = []
+        parent: dict[bytes, bytes] = {}
 
-        def top(x: str) -> str:
+        def top(x: bytes) -> bytes:
             while (up := parent.get(x, x)) != x:
                 parent[x] = parent.get(up, up)
                 x = up
             return x
 
         for batch in batches:
-            new = [np.asarray(s.values).view(np.uint64) for s in batch.column("shingles")]
             keys = np.concatenate([keys, _symbols(batch.column("key"))])
             trees = np.concatenate([trees, batch.column("tree").to_numpy()])
-            names, sets, roots = [*names, *batch.column("set_id").to_pylist()], [*sets, *new], [*roots, *batch.column("root").to_pylist()]
+            names, roots = [*names, *batch.column("set_id").to_pylist()], [*roots, *batch.column("root").to_pylist()]
+            sets = [*sets, *(np.asarray(s.values) for s in batch.column("shingles"))]
             sizes = np.array([len(s) for s in sets], np.int64)
-            around = np.zeros(len(names), np.int64)
-            a, b = [], []
-            for by in range(1, min(WIDTH, len(names) - 1) + 1):
-                near = _near(keys, trees, sizes, by, like)
-                around[near] += 1
-                for i in near.tolist():
-                    j = i + by
-                    x, y = top(roots[i]), top(roots[j])
-                    if x == y:
-                        continue
-                    common = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
-                    if like.whole * common >= like.part * (len(sets[i]) + len(sets[j]) - common):
+            rows = []
+            for by in range(1, min(CROWD_WIDTH, len(names) - 1) + 1):
+                for i in _near(keys, trees, sizes, by, like).tolist():
+                    x, y = top(roots[i]), top(roots[i + by])
+                    if x != y and _linked(sets[i], sets[i + by], like):
                         parent[max(x, y)] = min(x, y)
-                        a.append(names[i])
-                        b.append(names[j])
-            full = [names[i] for i in np.flatnonzero(around > WIDTH // 2)]
-            if a or full:
-                yield pa.RecordBatch.from_arrays([pa.array(a + full, pa.string()), pa.array(b + [None] * len(full), pa.string())], ["a", "b"])
-            keys, trees, names, sets, roots = keys[-WIDTH:], trees[-WIDTH:], names[-WIDTH:], sets[-WIDTH:], roots[-WIDTH:]
+                        rows.append((names[i], names[i + by]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
+            keys, trees, names, sets, roots = keys[-CROWD_WIDTH:], trees[-CROWD_WIDTH:], names[-CROWD_WIDTH:], sets[-CROWD_WIDTH:], roots[-CROWD_WIDTH:]
 
-    return _orders(classes).mapInArrow(run, "a string, b string").distinct()
+    return _orders(classes, CROWD_STEP).mapInArrow(run, "a binary, b binary").distinct()
 
 
-def set_name(shingles: np.ndarray) -> str | None:
-    from xxhash import xxh3_128_hexdigest
+def set_name(shingles: np.ndarray) -> bytes | None:
+    from xxhash import xxh3_128_digest
 
-    return xxh3_128_hexdigest(shingles.tobytes()) if len(shingles) else None
+    return xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
 def _full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
@@ -203,9 +215,9 @@ def _full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in made])]).astype(np.int32)
                 values = np.concatenate([np.empty(0, np.uint64), *[s for _, s in made]]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, _ in made], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["set_id", "shingles"])
+                    [pa.array([n for n, _ in made], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["set_id", "shingles"])
 
-    return docs.select("set_id", "text").mapInArrow(run, "set_id string, shingles array<long>")
+    return docs.select("set_id", "text").mapInArrow(run, "set_id binary, shingles array<long>")
 
 
 def _resigned(classes: DataFrame, seed: int) -> DataFrame:
@@ -231,32 +243,29 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
     sketches = staged(sketched(given, like), "near-sketches")
     classes = sketches.filter("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    similar = staged(similar_classes(classes, like), "near-similar")
-
-    # Full sets of the similar classes, from one row each.
-    chosen = sketches.join(similar, "set_id").groupBy("set_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("at"), F.first("sig").alias("sig"))
-    wanted = chosen.select("set_id", "sig", F.col("at.doc_id").alias("_id"))
-    texts = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", F.col("set_id").alias("_wanted"))
-    sets = _full_sets(texts.select("text", F.col("_wanted").alias("set_id")), like)
-    sets = sets.dropDuplicates(["set_id"])
-    full = staged(sets.join(similar.join(classes.select("set_id", "sig"), "set_id"), "set_id"), "near-sets")
-
-    found = staged(confirmed_links(full.withColumn("root", F.col("set_id")), like), "near-links")
-    links = found.filter("b IS NOT NULL")
+    found = staged(similar_pairs(classes, like), "near-pairs")
+    pairs = found.filter("b IS NOT NULL")
+    crowd = staged(found.filter("b IS NULL").select(F.col("a").alias("set_id")).distinct(), "near-crowd")
+
+    # Full sets of the classes in question, from one row each.
+    asked = crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("set_id"))).distinct()
+    chosen = sketches.join(asked, "set_id").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("at"))
+    wanted = chosen.select("set_id", F.col("at.doc_id").alias("_id"))
+    texts = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_id", "text")
+    sets = staged(_full_sets(texts, like).dropDuplicates(["set_id"]), "near-sets")
+
+    links = staged(confirmed_pairs(pairs, sets, like), "near-links")
     roots = staged(components(links, "a", "b"), "near-roots")
-    crowded = staged(found.filter("b IS NULL").select(F.col("a").alias("set_id")).distinct(), "near-crowded")
-    quiet, seed = (2, 0) if crowded.isEmpty() else (0, 0)
+    inside = sets.join(crowd, "set_id")
+    quiet, seed = (2 if crowd.isEmpty() else 0), 0
     while quiet < 2:
         seed += 1
-        theirs = full.join(crowded, "set_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-        fresh = _resigned(theirs.withColumn("root", F.coalesce("root", "set_id")), seed)
-        more = staged(confirmed_links(fresh, like).filter("b IS NOT NULL"), "near-links")
+        theirs = inside.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        more = staged(crowd_links(_resigned(theirs, seed), like), "near-links")
         if more.isEmpty():
             quiet += 1
         else:
-            quiet = 0
-            links = links.unionByName(more)
+            quiet, links = 0, links.unionByName(more)
             roots = staged(components(links, "a", "b"), "near-roots")
 
     names = classes.select("set_id", "first").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("root", "set_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanbook.llm import bpe, mixing
+from loanbook.llm import bpe, lsh_forest, mixing, pii
 from loanbook.llm.common import staged, table
 from loanbook.llm.queries import judged_toxicity, tokenizer_path
 
@@ -14,6 +14,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged_toxicity(spark, docs, sf_dir).filter("predicted = 0").select(docs.columns)
 
 
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return lsh_forest.one_of_each(docs, lsh_forest.Likeness(words=5, part=80))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets; n_chars is counted anew where a text changes."""
+    return pii.mask(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the remaining sources: a document comes once for each round in which blocks of it are used."""
     return mixing.mixed_documents(docs)
@@ -24,7 +34,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
 
 
-STAGES = [("toxicity", without_toxic), ("mixing", mixed), ("bpe", encoded)]
+STAGES = [("toxicity", without_toxic), ("minhash", without_copies), ("pii", without_personal_data), ("mixing", mixed), ("bpe", encoded)]
 ORACLE_SQL = None
 
 

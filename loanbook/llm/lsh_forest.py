@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanbook.llm.common import partitions, staged
+from loanbook.llm.common import partitions, staged, words
 from loanbook.llm.components import components
 
 TREES = 12
@@ -46,7 +46,7 @@ class Likeness:
     whole: int = 100
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
+def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles: words between ASCII blanks, A-Z lower-cased. Fewer words than a
     shingle count as one whole; without words the set is empty."""
     from xxhash import xxh3_64_intdigest
@@ -54,13 +54,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    if len(found) < words:
+    if len(found) < width:
         return np.array([xxh3_64_intdigest(b" ".join(found), len(found))], np.uint64)
     hashed = np.array([xxh3_64_intdigest(w) for w in found], np.uint64)
-    n = len(hashed) - words + 1
-    mixed = np.full(n, words, np.uint64)
+    n = len(hashed) - width + 1
+    mixed = np.full(n, width, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(words):
+        for k in range(width):
             mixed = (mixed ^ hashed[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
     return np.unique(mixed)
@@ -274,3 +274,16 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
     result = sketches.drop("sig").join(placed, "set_id", "left")
     own = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return result.select("row", "doc_id", "n_shingles", "set_id", "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with one of each component of near-duplicates: the one of smallest id, not null, where there is a choice.
+
+    Rows without words are linked with nothing and all stay; a row repeated with id and text stays once."""
+    named = docs.withColumn("_row", F.xxhash64(text).cast("string"))
+    blank = F.size(words(F.col(text))) == 0
+    found = near_duplicates(named.filter(~blank), like, key, text, "_row").select("row", F.col("doc_id").alias("_id"), "component")
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "row")).alias("c")).select("c._id", F.col("c.row").alias("_of"))
+    mine = (F.col(key).cast("long").eqNullSafe(F.col("_id"))) & (F.col("_row") == F.col("_of"))
+    kept = named.filter(~blank).join(chosen, mine, "left_semi").dropDuplicates([key, "_row"])
+    return kept.unionByName(named.filter(blank)).select(docs.columns)

@@ -27,7 +27,7 @@ class FitSettings:
     batch: int = 256
     rate: float = 0.05
     weight_decay: float = 1e-4
-    least_rows: int = 10  # of the sample, that a cell must occur in to count
+    least_rows: int = 4  # of the sample, that a cell must occur in to count
     least_association: float = 15.0  # chi-square of cell and label; what chance ties to the label stays below
     seed: int = 7
 
@@ -117,7 +117,7 @@ def descend(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, settings:
             error = (own.scores(at, starts) - labels[part]) / len(part)
             vectors = own.factors[at]
             each = np.column_stack([error[row], error[row][:, None] * (_sums(vectors, starts)[row] - vectors)])
-            gradient = np.column_stack([np.bincount(at, each[:, k], len(cells)) for k in range(each.shape[1])])
+            gradient = np.column_stack([np.bincount(at, each[:, k], len(cells)) for k in range(each.shape[1])]).astype(float)
             gradient += settings.weight_decay * parameters
             mean = 0.9 * mean + 0.1 * gradient
             square = 0.999 * square + 0.001 * gradient**2

@@ -262,7 +262,10 @@ class ModelConfig:
     max_depth: int = 12
     min_leaf: int = 50
     seed: int = 42
-    cache_node_ids: bool = True
+    cache_node_ids: bool = False  # faster forests for about 0.8 kB per loan
+    boosting_rounds: int = 100
+    boosting_depth: int = 3
+    boosting_rate: float = 0.1
     min_target_rate: float = 0.001
     max_target_rate: float = 0.50
     leakage_correlation: float = 0.95
@@ -271,7 +274,6 @@ class ModelConfig:
     min_positives: int = 50
     lift_percentiles: tuple[int, ...] = (1, 5, 10, 20)
     min_segment_loans: int = 30
-    max_levels: int = 1000
 
 
 DEFAULT = TapeConfig()

@@ -46,6 +46,28 @@ def pct(part: Column, whole: Column, digits: int) -> Column:
     return rnd(F.lit(100.0) * part / F.nullif(whole, F.lit(0.0)), digits)
 
 
+def pct_even(part: Column, whole: Column, digits: int) -> Column:
+    """As ``pct``, rounded half to even."""
+    whole = whole.cast("double")
+    return rnd_even(F.lit(100.0) * part / F.nullif(whole, F.lit(0.0)), digits)
+
+
+def one_digit(c: Column | str) -> Column:
+    """Text with one decimal, rounded half to even on the exact binary value.
+
+    ``format_string`` rounds the printed decimal instead: 0.15 lies below the
+    tie. Ten times the value is the sum of its exact eightfold and double; what
+    that sum loses tells on which side of a tie the value lies."""
+    x = _col(c).cast("double")
+    eight, two = x * 8.0, x * 2.0
+    ten = eight + two
+    part = ten - eight
+    lost = (eight - (ten - part)) + (two - part)
+    tie = ten - F.floor(ten) == 0.5
+    rounded = F.when(tie & (lost < 0), F.floor(ten)).when(tie & (lost > 0), F.ceil(ten)).otherwise(F.rint(ten))
+    return F.format_string("%.1f", rounded.cast("double") / 10.0)
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(WHITESPACE))
 

@@ -2,44 +2,41 @@
 
 ``percentile`` keeps every distinct value in one aggregation buffer and an
 unpartitioned window sorts a whole table in one task; neither survives a large
-table. The helpers here stay exact and keep every task bounded.
+table. The helpers here stay exact, keep every task bounded and go the same
+way at every size.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows one task may sort, and values one buffer may gather. Both are checked
-# before use; larger inputs take the distributed way.
-SINGLE_TASK_ROWS = 1_000_000
-GATHER_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
-
-    A temporary folder stands in only in local mode, where it is reachable."""
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not context.master.startswith("local"):
+    """Folder every executor can reach: the session's ``spark.checkpoint.dir``,
+    or the one its context was given."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    current = context.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="loanbook-")
-        context.setCheckpointDir(current)
-    return current
+    return folder
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a large frame to the shared folder as Parquet and go on from the
+    files: later passes read only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder and continue from there."""
+    """Write a small frame to the shared folder and continue from there."""
     context = df.sparkSession.sparkContext
     folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
@@ -47,12 +44,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running_totals(
-    df: DataFrame,
-    order: Sequence[Column],
-    totals: dict[str, Column],
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, Column]) -> DataFrame:
     """Add cumulative sums over a global order.
 
     ``order`` should be close to unique (group ties first), so that ranges
@@ -61,24 +53,15 @@ def running_totals(
     range a row fell into is written down before it is used twice.
     """
     columns = df.columns
-    whole = checkpointed(df)
-    count = whole.count()
-    up_to_here = (Window.unboundedPreceding, Window.currentRow)
-    if count <= single_task_rows:
-        window = Window.orderBy(*order).rowsBetween(*up_to_here)
-        return whole.select(*columns, *[F.sum(c).over(window).alias(n) for n, c in totals.items()])
-
-    ranges = math.ceil(count / single_task_rows) + 1
-    placed = checkpointed(
-        whole.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
-    )
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = staged(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     per_range = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         "_range", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals]
     )
-    window = Window.partitionBy("_range").orderBy(*order).rowsBetween(*up_to_here)
-    # One row per range, so the broadcast is bounded by rows / single_task_rows.
+    window = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row per range, as many as shuffle partitions.
     return placed.join(F.broadcast(offsets), "_range").select(
         *columns, *[(F.sum(c).over(window) + F.col(f"_before_{n}")).alias(n) for n, c in totals.items()]
     )
@@ -104,17 +87,14 @@ class _Search:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    gather_rows: int = GATHER_ROWS,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, dict[float, float | None]]:
     """Linearly interpolated quantiles of several columns, ignoring NULL.
 
-    A mergeable sketch brackets each wanted rank, one pass counts around the
-    bracket, and only the few values left inside are sorted. Every pass is one
-    global aggregate for all columns with buffers of bounded size; nothing is
-    shuffled but the partial aggregates.
+    A mergeable sketch brackets each wanted rank and one pass counts around
+    the bracket; what is left inside is sketched again, until the value itself
+    is met. Every pass is one global aggregate for all columns with buffers of
+    bounded size; nothing is shuffled but the partial aggregates.
     """
     columns = list(dict.fromkeys(columns))
     counted = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
@@ -127,13 +107,8 @@ def exact_quantiles(
         pending += [_Search(column, r, size) for r in sorted(ranks)]
 
     while pending:
-        small = [s for s in pending if s.rows <= gather_rows]
-        large = [s for s in pending if s.rows > gather_rows]
-        if small:
-            _gather(df, small, found)
-        if large:
-            _narrow(df, large, found)
-        pending = [s for s in large if (s.column, s.rank) not in found]
+        _narrow(df, pending, found)
+        pending = [s for s in pending if (s.column, s.rank) not in found]
 
     result: dict[str, dict[float, float | None]] = {}
     for column, size in sizes.items():
@@ -154,37 +129,25 @@ def _ranks(size: int, probability: float) -> tuple[int, int, float]:
     return low, math.ceil(position), position - low
 
 
-def _gather(df: DataFrame, searches: list[_Search], found: dict) -> None:
-    """Sort the values left in each bracket; their number has been counted."""
+def _narrow(df: DataFrame, searches: list[_Search], found: dict) -> None:
+    """Shrink each bracket around its rank, or hit the value itself. Ranks that
+    still share a bracket share its sketch."""
+    slack = 2.0 / SKETCH_ACCURACY
     brackets: dict[tuple, list[_Search]] = {}
     for s in searches:
         brackets.setdefault((s.column, s.low, s.high), []).append(s)
-    picks = []
+    sketches = []
     for i, group in enumerate(brackets.values()):
-        ordered = F.sort_array(F.collect_list(group[0].value()))
-        picks.append(F.array(*[F.get(ordered, F.lit(s.offset)) for s in group]).alias(f"v{i}"))
-    row = df.agg(*picks).first()
+        shares = [x for s in group for x in (max(0.0, s.offset / s.rows - slack), min(1.0, s.offset / s.rows + slack))]
+        sketches.append(F.percentile_approx(group[0].value(), shares, SKETCH_ACCURACY).alias(f"c{i}"))
+    row = df.agg(*sketches).first()
+    cuts = {}
     for i, group in enumerate(brackets.values()):
-        for s, value in zip(group, row[f"v{i}"]):
-            found[s.column, s.rank] = value
-
-
-def _narrow(df: DataFrame, searches: list[_Search], found: dict) -> None:
-    """Shrink each bracket around its rank, or hit the value itself."""
-    slack = 2.0 / SKETCH_ACCURACY
-    cuts = df.agg(
-        *[
-            F.percentile_approx(
-                s.value(),
-                [max(0.0, s.offset / s.rows - slack), min(1.0, s.offset / s.rows + slack)],
-                SKETCH_ACCURACY,
-            ).alias(f"c{i}")
-            for i, s in enumerate(searches)
-        ]
-    ).first()
+        for k, s in enumerate(group):
+            cuts[id(s)] = row[f"c{i}"][2 * k : 2 * k + 2]
     counts = []
     for i, s in enumerate(searches):
-        (a, b), v = cuts[f"c{i}"], s.value()
+        (a, b), v = cuts[id(s)], s.value()
         counts += [
             F.count_if(v < a).alias(f"below{i}"),
             F.count_if(v == a).alias(f"at{i}"),
@@ -193,7 +156,7 @@ def _narrow(df: DataFrame, searches: list[_Search], found: dict) -> None:
         ]
     row = df.agg(*counts).first()
     for i, s in enumerate(searches):
-        a, b = cuts[f"c{i}"]
+        a, b = cuts[id(s)]
         below, at, inside, top = (row[f"{k}{i}"] for k in ("below", "at", "in", "top"))
         left = s.offset
         if left < below:
@@ -207,10 +170,3 @@ def _narrow(df: DataFrame, searches: list[_Search], found: dict) -> None:
         else:
             passed = below + at + inside + top
             s.low, s.rows, s.offset = b, s.rows - passed, left - passed
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side is left to the
-    optimizer, whose sort-merge join splits skewed keys at run time."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanbook.config import DEFAULT, TapeConfig
-from loanbook.functions.expressions import pct, rank_of, rnd, rows
+from loanbook.functions.expressions import pct, pct_even, rank_of, rnd, rows
 from loanbook.operators.portfolio import (
     DPD_ORDER,
     all_groups,
@@ -52,7 +52,7 @@ def _outside(c: str, low: float, high: float) -> Column:
 
 def _share(count: Column, total: Column, digits: int) -> Column:
     """Percent of all loans; an empty table gives 0."""
-    return F.coalesce(pct(count, total, digits), F.lit(0.0))
+    return F.coalesce(pct_even(count, total, digits), F.lit(0.0))
 
 
 def duplicate_ids(loans: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.config import DEFAULT, TapeConfig
-from loanbook.functions.expressions import blank_to_null, bucketize, integer_text, pct, rows, strip, to_number
+from loanbook.functions.expressions import blank_to_null, bucketize, integer_text, pct_even, rows, strip, to_number
 
 KEY_COLUMNS = ("loan_id", "credit_score", "ltv", "dti", "delinquency_status", "current_upb", "property_state")
 SERIOUS_BUCKETS = ("90_DPD", "120_Plus_DPD", "REO_Acquired")
@@ -99,24 +99,26 @@ def clean(raw: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
 # -- reports on the cleaning ---------------------------------------------------
 
 
-def cast_failures(raw: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
-    """Per numeric column, values present before the cast and missing after.
-    Columns without failures are left out."""
+def _per(df: DataFrame, by: str | None, values: Sequence[Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """One row in all, or one per value of ``by``, and the key to repeat."""
+    return (df.groupBy(by).agg(*values), {by: F.col(by)}) if by else (df.agg(*values), {})
+
+
+def cast_failures(raw: DataFrame, cfg: TapeConfig = DEFAULT, by: str | None = None) -> DataFrame:
+    """Per numeric column, values present before the cast and missing after,
+    for each file when ``by`` names it. Columns without failures are left out."""
     names = [c for c in cfg.numeric_names if c in raw.columns]
-    trimmed = trim_blanks(raw.select(*names))
-    one = trimmed.agg(
-        *[F.count_if(F.col(c).isNotNull() & to_number(c).isNull()).alias(c) for c in names]
-    )
-    return rows(one, [{"column_name": F.lit(c), "failures": F.col(c)} for c in names]).filter("failures > 0")
+    trimmed = trim_blanks(raw.select(*([by] if by else []), *names))
+    one, key = _per(trimmed, by, [F.count_if(F.col(c).isNotNull() & to_number(c).isNull()).alias(c) for c in names])
+    return rows(one, [{**key, "column_name": F.lit(c), "failures": F.col(c)} for c in names]).filter("failures > 0")
 
 
-def sentinel_counts(typed: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
-    """Per column, how many sentinel codes would be replaced."""
+def sentinel_counts(typed: DataFrame, cfg: TapeConfig = DEFAULT, by: str | None = None) -> DataFrame:
+    """Per column, how many sentinel codes would be replaced, for each file
+    when ``by`` names it."""
     names = [c for c in cfg.sentinels if c in typed.columns]
-    one = typed.agg(
-        *[F.count_if(F.col(c).isin([float(code) for code in cfg.sentinels[c]])).alias(c) for c in names]
-    )
-    return rows(one, [{"column_name": F.lit(c), "replaced": F.col(c)} for c in names]).filter("replaced > 0")
+    one, key = _per(typed, by, [F.count_if(F.col(c).isin([float(code) for code in cfg.sentinels[c]])).alias(c) for c in names])
+    return rows(one, [{**key, "column_name": F.lit(c), "replaced": F.col(c)} for c in names]).filter("replaced > 0")
 
 
 def null_rates(cleaned: DataFrame, columns: Sequence[str] = KEY_COLUMNS) -> DataFrame:
@@ -131,7 +133,7 @@ def null_rates(cleaned: DataFrame, columns: Sequence[str] = KEY_COLUMNS) -> Data
             {
                 "column_name": F.lit(c),
                 "rows_out": F.col("_rows"),
-                "null_pct": pct(F.col(c), F.col("_rows"), 2),
+                "null_pct": pct_even(F.col(c), F.col("_rows"), 2),
             }
             for c in names
         ],

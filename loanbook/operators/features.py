@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.config import MODEL_DEFAULT, ModelConfig
-from loanbook.functions.expressions import rnd
+from loanbook.functions.expressions import rnd_even
 from loanbook.functions.history import (
     count_of,
     delinquent_months,
@@ -112,19 +112,16 @@ class FeatureSet:
         return cls(tuple(data["numeric"]), data["medians"], data["levels"], tuple(data["binary"]))
 
 
-def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MODEL_DEFAULT.max_levels) -> dict[str, list[str]]:
+def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted distinct values per column, NULL left out.
 
     The combinations of all columns are reduced first, in one pass with a
-    map-side combine. More than ``max_levels`` in total is an error: such a
-    column is no category."""
+    map-side combine."""
     combinations = df.select(*columns).distinct()
     pairs = combinations.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in columns]))
     )
-    found = pairs.filter(F.col("level").isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(f"more than {max_levels} category levels")
+    found = pairs.filter(F.col("level").isNotNull()).distinct().collect()
     return {c: sorted(r["level"] for r in found if r["name"] == c) for c in columns}
 
 
@@ -139,7 +136,7 @@ def fit_features(matrix: DataFrame, kind: str = "origination", cfg: ModelConfig
     return FeatureSet(
         numeric=numeric,
         medians={c: medians[c][0.5] for c in numeric},
-        levels=category_levels(matrix, cfg.categorical, cfg.max_levels),
+        levels=category_levels(matrix, cfg.categorical),
         binary=cfg.binary,
     )
 
@@ -168,6 +165,6 @@ def split_info(matrix: DataFrame, cut: float, target: str = MODEL_DEFAULT.target
         F.lit(float(cut)).alias("median_age"),
         F.count_if(train).alias("train_size"),
         F.count_if(test).alias("test_size"),
-        rnd(F.avg(F.when(train, F.col(target))), 4).alias("train_dlq_rate"),
-        rnd(F.avg(F.when(test, F.col(target))), 4).alias("test_dlq_rate"),
+        rnd_even(F.avg(F.when(train, F.col(target))), 4).alias("train_dlq_rate"),
+        rnd_even(F.avg(F.when(test, F.col(target))), 4).alias("test_dlq_rate"),
     )

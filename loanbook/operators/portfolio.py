@@ -157,26 +157,23 @@ def delinquency_distribution(loans: DataFrame) -> DataFrame:
 def roll_rates(loans: DataFrame) -> DataFrame:
     """Month-to-month moves between delinquency states over the last year.
 
-    Loans are first counted per twelve-month pattern: almost all share a few
-    patterns, so the map side collapses them, and only patterns, weighted by
-    their count, are unfolded into eleven month pairs.
+    The year of a loan is unfolded into its eleven month pairs in the map
+    stage, where they are counted into at most a hundred pairs; nothing else
+    is shuffled, whatever the histories.
     """
     history = F.col("payment_history")
-    patterns = (
-        loans.filter(has_history(history))
-        .groupBy(last_year(history).alias("pattern"))
-        .agg(n_loans().alias("weight"))
-    )
     months = F.sequence(F.lit(1), F.lit(WINDOW_MONTHS - 1))
-    pairs = patterns.select("pattern", "weight", F.explode(months).alias("month")).select(
+    year = loans.filter(has_history(history)).select(last_year(history).alias("pattern"))
+    pairs = year.select("pattern", F.explode(months).alias("month")).select(
         F.substring("pattern", F.col("month"), F.lit(1)).alias("was"),
         F.substring("pattern", F.col("month") + 1, F.lit(1)).alias("became"),
-        "weight",
     )
+    known = pairs.filter(F.col("was").between("0", "9") & F.col("became").between("0", "9"))
     moves = (
-        pairs.filter(F.col("was").between("0", "9") & F.col("became").between("0", "9"))
+        known.groupBy("was", "became")
+        .agg(n_loans().alias("n"))
         .groupBy(state_label(F.col("was")).alias("from_bucket"), state_label(F.col("became")).alias("to_bucket"))
-        .agg(F.sum("weight").alias("transitions"))
+        .agg(F.sum("n").alias("transitions"))
     )
     leaving = F.sum("transitions").over(Window.partitionBy("from_bucket"))
     return moves.select(

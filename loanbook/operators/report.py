@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanbook.functions.expressions import pct, rank_of, rnd, rnd_even, rows
+from loanbook.functions.expressions import one_digit, pct, rank_of, rnd, rnd_even, rows, settled
 from loanbook.operators import portfolio as P
 from loanbook.operators.portfolio import DPD_ORDER, ROLL_STATES, all_groups, as_year, delinquency_rate, mean, n_loans
 
@@ -111,7 +113,8 @@ def vintage_extremes(loans: DataFrame) -> DataFrame:
 
 
 def headline(loans: DataFrame) -> DataFrame:
-    """One sentence: portfolio rate, size and the worst vintage."""
+    """One sentence: portfolio rate, size and the worst vintage. Fixed values:
+    its wording is part of the result."""
     grouped = loans.groupBy(F.col("orig_year").alias("_year")).agg(
         n_loans().alias("loans"), F.sum("is_delinquent").alias("dlq"), F.sum("current_upb").alias("upb")
     )
@@ -127,9 +130,10 @@ def headline(loans: DataFrame) -> DataFrame:
     short = F.concat(F.lit("Portfolio delinquency stands at "), F.col("avg_dlq").cast("string"), F.lit("%"))
     full = F.concat(
         short,
-        F.format_string(" across %,d loans ($%.1fB UPB). The %d vintage is the highest-risk cohort at ", "loans", F.col("upb") / 1e9, "worst.year"),
-        F.col("worst.rate").cast("string"),
-        F.format_string("%% delinquency — %.1fx the portfolio average.", F.col("worst.rate") / F.nullif(F.col("avg_dlq"), F.lit(0.0))),
+        F.lit(" across "), F.format_number("loans", 0), F.lit(" loans ($"), one_digit(settled(F.col("upb") / 1e9)),
+        F.lit("B UPB). The "), F.col("worst.year").cast("int").cast("string"), F.lit(" vintage is the highest-risk cohort at "),
+        F.col("worst.rate").cast("string"), F.lit("% delinquency — "),
+        one_digit(F.col("worst.rate") / F.nullif(F.col("avg_dlq"), F.lit(0.0))), F.lit("x the portfolio average."),
     )
     return one.select(F.when(F.col("worst").isNotNull(), full).otherwise(F.concat(short, F.lit("."))).alias("headline"))
 
@@ -160,6 +164,14 @@ def roll_matrix(loans: DataFrame) -> DataFrame:
     )
 
 
+def hotspot_severity(loans: DataFrame) -> DataFrame:
+    """Shading of the hotspot table: high above 1.5 times the portfolio rate."""
+    high = F.col("dlq_rate_pct") > F.col("avg_dlq") * 1.5
+    return geo_hotspots(loans).select(
+        "property_state", "dlq_rate_pct", F.when(high, "high").otherwise("medium").alias("severity")
+    )
+
+
 def cure_rate(loans: DataFrame) -> DataFrame:
     """Share of months one payment behind that were current the month after."""
     cured = (F.col("from_bucket") == "30_DPD") & (F.col("to_bucket") == "Current")
@@ -264,11 +276,11 @@ def recommendations(loans: DataFrame, segments: DataFrame, lift: DataFrame) -> D
 
     vintage = _recommendation(
         _vintages(loans).filter((F.col("dlq_rate_pct") > F.col("avg_dlq") * 2) & (F.col("loans") >= SIGNIFICANT_VINTAGE)),
-        "Vintage Risk", F.col("orig_year"), F.col("dlq_rate_pct"), rnd(ratio, 2), F.col("loans"), F.col("upb_billions"),
+        "Vintage Risk", F.col("orig_year"), F.col("dlq_rate_pct"), ratio, F.col("loans"), F.col("upb_billions"),
     )
     state = _recommendation(
         geo_hotspots(loans, 3).filter(F.col("dlq_rate_pct") > F.col("avg_dlq") * 1.5),
-        "Geographic Concentration", F.col("property_state"), F.col("dlq_rate_pct"), rnd(ratio, 2), F.col("loans"), none,
+        "Geographic Concentration", F.col("property_state"), F.col("dlq_rate_pct"), ratio, F.col("loans"), none,
     )
     # One row meets one row: the portfolio rate is put on the segment row by a
     # union and an aggregate instead of a join.
@@ -284,8 +296,8 @@ def recommendations(loans: DataFrame, segments: DataFrame, lift: DataFrame) -> D
     )
     concentration = _recommendation(
         merged.filter(F.col("rate") > F.col("avg_dlq") * 3),
-        "Segment Concentration", F.lit("Top 15 segments"), F.col("rate"), rnd(F.col("rate") / F.col("avg_dlq"), 2),
-        F.col("loans"), rnd(F.col("upb") / 1e9, 3),
+        "Segment Concentration", F.lit("Top 15 segments"), F.col("rate"), F.col("rate") / F.nullif(F.col("avg_dlq"), F.lit(0.0)),
+        F.col("loans"), F.col("upb") / 1e9,
     )
     rate = F.col("cure_rate_30")
     category = F.when(rate > 75, "Loss Mitigation Effectiveness").when(rate < 60, "Loss Mitigation Concern")
@@ -302,35 +314,28 @@ def recommendations(loans: DataFrame, segments: DataFrame, lift: DataFrame) -> D
     return out
 
 
+# What each recommendation says, with the numbers of its row filled in.
+RECOMMENDATION_TEXTS = {
+    "Vintage Risk": "{rate}% of the {subject} vintage is delinquent, {ratio} times the rate of the whole book; its {loans} loans hold ${upb} billion and should be contacted first.",
+    "Geographic Concentration": "{subject}: {rate}% of {loans} loans are delinquent, {ratio} times the rate of the whole book. Follow the local economy.",
+    "Segment Concentration": "{subject} hold {loans} loans with ${upb} billion outstanding, of which {one}% are delinquent on average. Send loss-mitigation staff there first.",
+    "Loss Mitigation Effectiveness": "{one}% of loans one payment behind are current a month later: early contact works, keep it as it is.",
+    "Loss Mitigation Concern": "Only {one}% of loans one payment behind are current a month later, less than the 60% aimed at. Contact them earlier.",
+    "Risk Scoring Opportunity": "A fifth of the loans, taken from the top of the score, holds {rate}% of all delinquent ones. Work down that list.",
+}
+
+
 def recommendation_text(recs: DataFrame) -> DataFrame:
-    """Readable sentence per recommendation."""
-    rate = F.col("rate").cast("string")
-    one = F.format_string("%.1f", F.col("rate"))
-    ratio = F.format_string("%.1f", F.col("ratio"))
-    loans = F.format_number("loans", 0)
-    upb = F.format_string("%.1f", F.col("upb_billions"))
-    kind = F.col("category")
-    text = (
-        F.when(kind == "Vintage Risk", F.concat(
-            F.col("subject"), F.lit(" vintage delinquency ("), rate, F.lit("%) is "), ratio,
-            F.lit("x the portfolio average. Recommend targeted outreach for the "), loans,
-            F.lit(" loans ($"), upb, F.lit("B UPB) in this cohort.")))
-        .when(kind == "Geographic Concentration", F.concat(
-            F.col("subject"), F.lit(" shows "), rate, F.lit("% delinquency ("), ratio,
-            F.lit("x portfolio average) across "), loans, F.lit(" loans. Monitor for regional economic stress.")))
-        .when(kind == "Segment Concentration", F.concat(
-            F.col("subject"), F.lit(" contain "), loans, F.lit(" loans ($"), upb, F.lit("B UPB) with "), one,
-            F.lit("% average delinquency. Prioritize loss mitigation resources for these segments.")))
-        .when(kind == "Loss Mitigation Effectiveness", F.concat(
-            F.lit("30-DPD cure rate of "), one,
-            F.lit("% indicates effective early intervention. Maintain current outreach for newly delinquent loans.")))
-        .when(kind == "Loss Mitigation Concern", F.concat(
-            F.lit("30-DPD cure rate of "), one,
-            F.lit("% is below the 60% threshold. Review early intervention and consider more outreach for 30-day delinquent borrowers.")))
-        .otherwise(F.concat(
-            F.lit("The origination scoring model captures "), rate,
-            F.lit("% of delinquencies in the top 20% of scored loans; use it for proactive outreach.")))
-    )
+    """Readable sentence per recommendation; numbers are rounded here only."""
+    values = {
+        "subject": F.col("subject"), "rate": F.col("rate").cast("string"), "one": one_digit("rate"),
+        "ratio": one_digit("ratio"), "loans": F.format_number("loans", 0), "upb": one_digit("upb_billions"),
+    }
+    text = None
+    for kind, pattern in RECOMMENDATION_TEXTS.items():
+        parts = [values[p] if n % 2 else F.lit(p) for n, p in enumerate(re.split(r"[{}]", pattern))]
+        hit = F.col("category") == kind
+        text = F.when(hit, F.concat(*parts)) if text is None else text.when(hit, F.concat(*parts))
     return recs.select("category", text.alias("text"))
 
 

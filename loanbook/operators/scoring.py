@@ -7,23 +7,20 @@ task ever sorts all loans.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanbook.config import MODEL_DEFAULT, ModelConfig
-from loanbook.functions.expressions import pct, rnd, rnd_even, rows
-from loanbook.functions.ordered import SINGLE_TASK_ROWS, checkpointed, exact_quantiles, running_totals
+from loanbook.functions.expressions import pct_even, rnd, rnd_even, rows, settled
+from loanbook.functions.ordered import checkpointed, exact_quantiles, running_totals
 from loanbook.operators.portfolio import n_loans
 
 SEGMENT_KEYS = ("credit_score_band", "ltv_bucket", "rate_bucket", "orig_year")
 
 
-class SafetyCheckFailed(Exception):
+class GateFailed(Exception):
     """A gate that must stop a model run."""
 
 
@@ -54,21 +51,30 @@ def target_check(df: DataFrame, cfg: ModelConfig = MODEL_DEFAULT) -> DataFrame:
 def require_target(df: DataFrame, cfg: ModelConfig = MODEL_DEFAULT) -> None:
     row = target_check(df, cfg).first()
     if row["status"] != "PASS":
-        raise SafetyCheckFailed(
+        raise GateFailed(
             f"target rate {row['target_rate']} outside [{cfg.min_target_rate}, {cfg.max_target_rate}]"
         )
 
 
 def feature_correlations(encoded: DataFrame, names: Sequence[str], target: str) -> DataFrame:
     """Absolute Pearson correlation of every feature with the target, from one
-    distributed pass. Constant features and those with missing values have
-    none and are left out."""
-    values = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in [*names, target]]
-    vectors = encoded.select(array_to_vector(F.array(*values)).alias("values"))
-    # One row and column per feature, whatever the number of loans.
-    with_target = Correlation.corr(vectors, "values").first()[0].toArray()[-1]
-    pairs = [(c, abs(float(r))) for c, r in zip(names, with_target) if not math.isnan(r)]
-    return encoded.sparkSession.createDataFrame(pairs, "feature string, correlation double")
+    aggregate over all features. Constant features and those with missing
+    values have none and are left out."""
+    y = F.col(f"`{target}`").cast("double")
+
+    def correlation(x: Column) -> Column:
+        return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+    found = encoded.agg(
+        *[correlation(F.col(f"`{c}`").cast("double")).alias(f"r{i}") for i, c in enumerate(names)],
+        *[(F.count(f"`{c}`") < n_loans()).alias(f"gaps{i}") for i, c in enumerate(names)],
+        *[(F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"flat{i}") for i, c in enumerate(names)],
+    )
+    each = found.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.when(~F.col(f"gaps{i}") & ~F.col(f"flat{i}"), F.abs(f"r{i}")).alias("correlation"))
+        for i, c in enumerate(names)
+    ])))
+    return each.filter(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
 
 
 def leakage_check(
@@ -78,7 +84,7 @@ def leakage_check(
     return (
         feature_correlations(encoded, names, target)
         .filter(F.col("correlation") >= threshold)
-        .select("feature", rnd("correlation", 4).alias("correlation"))
+        .select("feature", rnd_even("correlation", 4).alias("correlation"))
     )
 
 
@@ -105,7 +111,7 @@ def split_check(matrix: DataFrame, cut: float, cfg: ModelConfig = MODEL_DEFAULT)
 def require_split(matrix: DataFrame, cut: float, cfg: ModelConfig = MODEL_DEFAULT) -> None:
     failed = split_check(matrix, cut, cfg).filter("status = 'FAIL'").collect()
     if failed:
-        raise SafetyCheckFailed(
+        raise GateFailed(
             "; ".join(f"{r['split']} has only {r['positives']} delinquent loans" for r in failed)
         )
 
@@ -113,12 +119,7 @@ def require_split(matrix: DataFrame, cut: float, cfg: ModelConfig = MODEL_DEFAUL
 # -- evaluation ------------------------------------------------------------------
 
 
-def score_curve(
-    scored: DataFrame,
-    score: str = "score",
-    label: str = "label",
-    single_task_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def score_curve(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row per distinct score, highest first, with loans and positives at
     the score and running totals down to it."""
     grouped = scored.groupBy(F.col(score).alias("score")).agg(
@@ -128,7 +129,6 @@ def score_curve(
         grouped,
         [F.desc("score")],
         {"loans_to_here": F.col("loans"), "positives_to_here": F.col("positives")},
-        single_task_rows,
     )
 
 
@@ -144,7 +144,7 @@ def auc(curve: DataFrame) -> DataFrame:
         F.sum(negatives).cast("double").alias("neg"),
     )
     pairs = F.nullif(F.col("pos") * F.col("neg"), F.lit(0.0))
-    return one.select(rnd(F.lit(1.0) - F.col("lost") / pairs, 4).alias("auc_roc"))
+    return one.select(rnd_even(F.lit(1.0) - F.col("lost") / pairs, 4).alias("auc_roc"))
 
 
 def classification_metrics(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -160,7 +160,7 @@ def classification_metrics(scored: DataFrame, score: str = "score", label: str =
     tp, fp, fn = (F.col(c).cast("double") for c in ("true_positives", "false_positives", "false_negatives"))
 
     def ratio(part: Column, whole: Column) -> Column:
-        return rnd(F.coalesce(part / F.nullif(whole, F.lit(0.0)), F.lit(0.0)), 4)
+        return rnd_even(F.coalesce(part / F.nullif(whole, F.lit(0.0)), F.lit(0.0)), 4)
 
     return one.select(
         ratio(tp, tp + fp).alias("precision"),
@@ -177,7 +177,6 @@ def lift_table(
     label: str = "label",
     loan_id: str = "loan_id",
     curve: DataFrame | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Positives among the highest-scored 1, 5, 10 and 20 percent of loans.
 
@@ -186,7 +185,7 @@ def lift_table(
     ordered, by loan id.
     """
     if curve is None:
-        curve = score_curve(scored, score, label, single_task_rows)
+        curve = score_curve(scored, score, label)
     ends = curve.agg(F.max("loans_to_here").alias("n"), F.max("positives_to_here").alias("pos")).first()
     total, positives = ends["n"] or 0, ends["pos"] or 0
     sizes = {p: max(1, int(total * p / 100)) for p in percentiles}
@@ -216,7 +215,6 @@ def lift_table(
         ties.select("top_pct", "loan_id", "label", "from_tie"),
         [F.col("top_pct"), F.col("loan_id")],
         {"position": F.lit(1)},
-        single_task_rows,
     )
     starts = ordered.groupBy("top_pct").agg((F.min("position") - 1).alias("before"))
     taken = (
@@ -230,7 +228,7 @@ def lift_table(
         "top_pct",
         "loans_reviewed",
         caught.cast("long").alias("delinquencies_caught"),
-        F.coalesce(pct(caught, F.lit(positives), 1), F.lit(0.0)).alias("capture_rate_pct"),
+        F.coalesce(pct_even(caught, F.lit(positives), 1), F.lit(0.0)).alias("capture_rate_pct"),
     ).orderBy("top_pct")
 
 
@@ -297,7 +295,7 @@ def rank_segments(scored: DataFrame, score: str = "score", min_loans: int = MODE
         F.avg(score).alias("avg_risk_score"),
         F.avg("is_delinquent").alias("actual_dlq_rate"),
         F.avg("credit_score").alias("avg_fico"),
-        F.avg("orig_interest_rate").alias("avg_rate"),
+        settled(F.avg("orig_interest_rate")).alias("avg_rate"),
     )
     # Segments are combinations of bands and years, a few hundred rows.
     order = Window.orderBy(F.desc("avg_risk_score"), *SEGMENT_KEYS)

@@ -7,9 +7,11 @@ synthetic tape and its defects are shared text.
 
 from __future__ import annotations
 
+import re
+
 from loanbook.config import DEFAULT
 from loanbook.registry import DEMO_SQL, FIXED_SCORE, STATE_CODES, TEST_ERAS, TEST_SMALL_POOL, _slug
-from loanbook.operators.report import BUCKET_COLOURS, STATE_NAMES
+from loanbook.operators.report import BUCKET_COLOURS, RECOMMENDATION_TEXTS, STATE_NAMES
 from loanbook.sources.testtables import BLANK_FILE, DEFECTS, SHORT_FILE, TAPE_COLUMNS
 
 
@@ -27,6 +29,10 @@ def _pct(part: str, whole: str, digits: int) -> str:
     return _r(f"100e0*({part})/nullif(cast({whole} AS DOUBLE),0)", digits)
 
 
+def _pct_even(part: str, whole: str, digits: int) -> str:
+    return _even(f"100e0*({part})/nullif(cast({whole} AS DOUBLE),0)", digits)
+
+
 def _n(condition: str = "TRUE") -> str:
     return f"count(*) FILTER (WHERE {condition})"
 
@@ -183,14 +189,14 @@ LIFT = (
     "cuts AS (SELECT cast(p AS INTEGER) AS top_pct FROM (VALUES (1),(5),(10),(20)) v(p)), "
     "lift AS (SELECT top_pct, cast(max(greatest(1, floor(n*top_pct/100e0))) AS BIGINT) AS loans_reviewed, "
     "cast(sum(CASE WHEN pos <= greatest(1, floor(n*top_pct/100e0)) THEN label ELSE 0 END) AS BIGINT) AS delinquencies_caught, "
-    f"{_pct('sum(CASE WHEN pos <= greatest(1, floor(n*top_pct/100e0)) THEN label ELSE 0 END)', 'max(total)', 1)} AS capture_rate_pct "
+    f"{_pct_even('sum(CASE WHEN pos <= greatest(1, floor(n*top_pct/100e0)) THEN label ELSE 0 END)', 'max(total)', 1)} AS capture_rate_pct "
     "FROM ranked CROSS JOIN cuts GROUP BY top_pct)"
 )
 
 _KEYS = "credit_score_band, ltv_bucket, rate_bucket, orig_year"
 SEGMENTS = (
     f"{SCORED}, grouped AS (SELECT {_KEYS}, count(*) AS loans, sum(current_upb) AS upb, avg(score) AS s, avg(is_delinquent) AS d, "
-    f"avg(credit_score) AS f, avg(orig_interest_rate) AS r FROM scored WHERE orig_year IS NOT NULL GROUP BY {_KEYS} HAVING count(*) >= 30), "
+    f"avg(credit_score) AS f, round(avg(orig_interest_rate),9) AS r FROM scored WHERE orig_year IS NOT NULL GROUP BY {_KEYS} HAVING count(*) >= 30), "
     f"segments AS (SELECT cast(row_number() OVER (ORDER BY s DESC, {_KEYS}) AS INTEGER) AS position, {_KEYS}, loans, "
     f"{_even('upb')} AS total_upb, {_even('s*100', 2)} AS avg_risk_score, {_even('d*100', 2)} AS actual_dlq_rate, "
     f"{_even('f')} AS avg_fico, {_even('r', 3)} AS avg_rate FROM grouped)"
@@ -270,7 +276,7 @@ def _gate(name: str, status: str, value: str, detail: str) -> str:
 
 
 def _null_gate(c: str, limit: float, worse: str) -> str:
-    share = _pct(_n(f"{c} IS NULL"), "count(*)", 2)
+    share = _pct_even(_n(f"{c} IS NULL"), "count(*)", 2)
     return _gate(
         f"null_{c}", f"CASE WHEN {share} > {limit} THEN '{worse}' ELSE 'PASS' END", share,
         f"concat(cast({share} AS VARCHAR), '% null (threshold: {limit}%)')",
@@ -279,7 +285,7 @@ def _null_gate(c: str, limit: float, worse: str) -> str:
 
 def _range_gate(c: str, low: float, high: float) -> str:
     count = _n(f"{c} < {low} OR {c} > {high}")
-    share = _pct(count, "count(*)", 2)
+    share = _pct_even(count, "count(*)", 2)
     return _gate(
         f"range_{c}", f"CASE WHEN {share} < 1 THEN 'PASS' ELSE 'WARN' END", count,
         f"concat(format('{{:,}}', {count}), ' loans out of [{low}, {high}] (', cast({share} AS VARCHAR), '%)')",
@@ -308,7 +314,7 @@ _OVERALL = (
 def _complete(c: str) -> str:
     limit = {"loan_id": 0.0, "delinquency_status": 1.0, "credit_score": 5.0, "ltv": 5.0, "current_upb": 2.0}.get(c, 10.0)
     worse = "FAIL" if c in ("loan_id", "delinquency_status") else "WARN"
-    share = _pct(_n(f"{c} IS NULL"), "count(*)", 3)
+    share = _pct_even(_n(f"{c} IS NULL"), "count(*)", 3)
     return (
         f"SELECT '{c}' AS column_name, {share} AS null_pct, cast({limit} AS DOUBLE) AS threshold, "
         f"CASE WHEN {share} > {limit} THEN '{worse}' ELSE 'PASS' END AS status FROM loans"
@@ -327,7 +333,7 @@ _RULES = {
 
 
 def _valid(label: str, condition: str) -> str:
-    share = _pct(_n(condition), "count(*)", 3)
+    share = _pct_even(_n(condition), "count(*)", 3)
     return (
         f"SELECT '{label}' AS check_name, {_n(condition)} AS violations, {share} AS pct, "
         f"CASE WHEN {share} < 0.5 THEN 'PASS' WHEN {share} < 2 THEN 'WARN' ELSE 'FAIL' END AS status FROM loans"
@@ -341,7 +347,7 @@ _NO_AGE = _n("loan_age IS NULL")
 
 def _consistent(label: str, count: str, status: str, note: str) -> str:
     return (
-        f"SELECT '{label}' AS check_name, cast({count} AS BIGINT) AS violations, {_pct(count, 'count(*)', 3)} AS pct, "
+        f"SELECT '{label}' AS check_name, cast({count} AS BIGINT) AS violations, {_pct_even(count, 'count(*)', 3)} AS pct, "
         f"{status} AS status, '{note}' AS note FROM loans"
     )
 
@@ -370,7 +376,7 @@ MANIFEST = (
     f"typed AS (SELECT * REPLACE ({', '.join(f'{_number(n)} AS {n}' for n in _INTS + _DOUBLES)}) FROM trimmed), {_derived('typed', 'cleaned')}, {_LAYOUT}, "
     "loaded AS (SELECT l.file, count(*) AS rows_loaded, "
     f"{_r('sum(c.current_upb)')} AS total_upb, concat(cast(cast(trunc(min(c.orig_year)) AS INTEGER) AS VARCHAR),'-',cast(cast(trunc(max(c.orig_year)) AS INTEGER) AS VARCHAR)) AS vintages, "
-    + ", ".join(f"{_pct(_n(f'c.{k} IS NULL'), 'count(*)', 2)} AS null_pct_{k}" for k in _KEY_COLUMNS)
+    + ", ".join(f"{_pct_even(_n(f'c.{k} IS NULL'), 'count(*)', 2)} AS null_pct_{k}" for k in _KEY_COLUMNS)
     + f" FROM lines l JOIN cleaned c USING (row_key) JOIN layout_of f ON f.file = l.file WHERE f.ok AND {_LOADED} GROUP BY l.file), "
     "manifest AS (SELECT f.file, cast(NULL AS DOUBLE) AS size_mb, CASE WHEN f.ok THEN 'OK' ELSE 'SKIPPED' END AS status, f.layout, "
     "CASE WHEN f.layout = 'UNKNOWN' THEN 0 ELSE f.n END AS total_lines, CASE WHEN f.ok THEN f.good END AS rows_parsed, "
@@ -412,7 +418,7 @@ LAYOUTS = (
     "FROM (SELECT file, max(n) AS n FROM numbered GROUP BY file) n LEFT JOIN median md ON md.file = n.file LEFT JOIN head h ON h.file = n.file AND h.rn = md.first_rn), "
     # Record files: 20-lines have 33 fields; their sample is the first 20-line.
     f"rec AS (SELECT {_RECORD_FILE} AS file, row_key, loan_id, property_state, credit_score, "
-    "1 + cast(row_key % 1000 = 0 AS INTEGER) + cast(row_key % 19 = 0 AS INTEGER) + cast(row_key % 13 <> 0 AS INTEGER) + cast(row_key % 17 = 0 AS INTEGER) AS n_lines FROM raw), "
+    "1 + cast(row_key % 1000 = 0 AS INTEGER) + cast(row_key % 19 = 0 AS INTEGER) + cast(row_key % 13 <> 0 AS INTEGER) + cast(row_key % 17 = 0 AS INTEGER) + cast(row_key % 23 = 0 AS INTEGER) AS n_lines FROM raw), "
     "records AS (SELECT file, 'SC' AS layout, 33 AS fields_per_row, TRUE AS matches_schema, cast(sum(n_lines) AS BIGINT) AS total_lines, "
     "NULL AS sample_reporting_period, NULL AS sample_pool_prefix, arg_min(loan_id, row_key) AS sample_loan_id, "
     "trim(arg_min(property_state, row_key)) AS sample_property_state, NULL AS sample_orig_date, trim(arg_min(credit_score, row_key)) AS sample_credit_score, "
@@ -432,11 +438,11 @@ _CONCENTRATION = (
 _CURE = "coalesce(max(transition_pct) FILTER (WHERE from_bucket = '30_DPD' AND to_bucket = 'Current'), 0e0)"
 _NONE = "cast(NULL AS DOUBLE) AS ratio, cast(NULL AS BIGINT) AS loans, cast(NULL AS DOUBLE) AS upb_billions"
 _RECOMMENDATIONS = _union([
-    f"SELECT 'Vintage Risk' AS category, cast(orig_year AS VARCHAR) AS subject, dlq_rate_pct AS rate, {_r(f'dlq_rate_pct/{_AVG_DLQ}', 2)} AS ratio, "
+    f"SELECT 'Vintage Risk' AS category, cast(orig_year AS VARCHAR) AS subject, dlq_rate_pct AS rate, dlq_rate_pct/nullif({_AVG_DLQ},0) AS ratio, "
     f"loans, upb_billions FROM vintages WHERE dlq_rate_pct > {_AVG_DLQ}*2 AND loans >= 1000",
-    f"SELECT 'Geographic Concentration', property_state, dlq_rate_pct, {_r(f'dlq_rate_pct/{_AVG_DLQ}', 2)}, loans, cast(NULL AS DOUBLE) "
+    f"SELECT 'Geographic Concentration', property_state, dlq_rate_pct, dlq_rate_pct/nullif({_AVG_DLQ},0), loans, cast(NULL AS DOUBLE) "
     f"FROM ({_HOTSPOTS} 3) WHERE dlq_rate_pct > {_AVG_DLQ}*1.5",
-    f"SELECT 'Segment Concentration', 'Top 15 segments', avg_dlq, {_r(f'avg_dlq/{_AVG_DLQ}', 2)}, loans, {_r('upb/1e9', 3)} "
+    f"SELECT 'Segment Concentration', 'Top 15 segments', avg_dlq, avg_dlq/nullif({_AVG_DLQ},0), loans, upb/1e9 "
     f"FROM ({_CONCENTRATION}) WHERE avg_dlq > {_AVG_DLQ}*3",
     f"SELECT CASE WHEN cure > 75 THEN 'Loss Mitigation Effectiveness' ELSE 'Loss Mitigation Concern' END, '30-DPD cure rate', cure, {_NONE} "
     f"FROM (SELECT {_CURE} AS cure FROM roll) WHERE cure > 75 OR cure < 60",
@@ -444,6 +450,16 @@ _RECOMMENDATIONS = _union([
 ])
 
 
+_FILLED = {
+    "subject": "subject", "rate": "rate", "one": "format('{:.1f}', rate)", "ratio": "format('{:.1f}', ratio)",
+    "loans": "format('{:,}', loans)", "upb": "format('{:.1f}', upb_billions)",
+}
+_SENTENCES = " ".join(
+    f"WHEN {_q(kind)} THEN " + " || ".join(f"coalesce(cast({_FILLED[p]} AS VARCHAR), '')" if n % 2 else _q(p) for n, p in enumerate(re.split("[{}]", text)))
+    for kind, text in RECOMMENDATION_TEXTS.items()
+)
+
+
 def _after_loans(cte: str) -> str:
     """The part of a WITH list that follows the shared loans."""
     return cte[len(LOANS):]
@@ -507,7 +523,7 @@ SQL: dict[str, str] = {
     "CASE WHEN row_key % 13 <> 0 THEN trim(delinquency_status) ELSE '09' END AS delinquency_status, payment_history, "
     f"try_cast(current_deferred_upb AS DOUBLE) AS current_deferred_upb, '' AS loan_age, '' AS f90 FROM raw WHERE {_MATCHED}",
     "record_counts": f"WITH {RAW} SELECT {_RECORD_FILE} AS file, {_n(_MATCHED)} AS rows_parsed, {_n('NOT ' + _MATCHED)} AS rows_skipped, "
-    f"count(*) AS origination_loans, {_n(_MATCHED)} AS performance_loans FROM raw GROUP BY 1",
+    f"count(*) AS origination_loans, {_n(_MATCHED)} AS performance_loans, {_n('row_key % 23 = 0')} AS lines_without_loan FROM raw GROUP BY 1",
     "pool_prefixes": f"WITH {TAPE}, ids AS (SELECT CASE WHEN row_key % 3 = 0 THEN concat('A00B0', loan_id) ELSE loan_id END AS loan_id FROM tape) "
     "SELECT loan_id, rtrim(regexp_extract(loan_id, '^(.{0,4}[^0-9]*)', 1), '0') AS pool_prefix FROM ids",
     "sql_text": f"WITH {LOANS} {DEMO_SQL}",
@@ -521,7 +537,7 @@ SQL: dict[str, str] = {
         for c, codes in {"credit_score": "9999, 0", "current_credit_score": "9999, 0", "dti": "999, 0", "ltv": "999, 0"}.items()
     ]) + ") WHERE replaced > 0",
     "cleaning_null_rates": f"WITH {CLEANED} " + _union([
-        f"SELECT '{c}' AS column_name, count(*) AS rows_out, {_pct(_n(f'{c} IS NULL'), 'count(*)', 2)} AS null_pct FROM cleaned" for c in _KEY_COLUMNS
+        f"SELECT '{c}' AS column_name, count(*) AS rows_out, {_pct_even(_n(f'{c} IS NULL'), 'count(*)', 2)} AS null_pct FROM cleaned" for c in _KEY_COLUMNS
     ]),
     # load and export
     "align_columns": f"WITH {LOANS} SELECT loan_id, cast(NULL AS DOUBLE) AS loan_term, cast(NULL AS VARCHAR) AS seller_name, "
@@ -529,6 +545,18 @@ SQL: dict[str, str] = {
     "replace_partitions": f"WITH {LOANS} SELECT pool_prefix, count(*) AS loans, {_r('sum(current_upb)')} AS total_upb FROM loans "
     "WHERE pool_prefix NOT IN ('95DNA1','98DNA1') OR num_borrowers = 1 GROUP BY pool_prefix",
     "load_manifest": f"WITH {MANIFEST} SELECT * FROM manifest",
+    "load_tapes": f"WITH {MANIFEST} SELECT * EXCLUDE (size_mb) FROM manifest",
+    "load_rejects": f"WITH {LINES} SELECT file, concat('too_few_fields (', cast(fields AS VARCHAR), ')') AS reason, count(*) AS lines FROM lines "
+    f"WHERE fields < 88 AND file NOT IN ('{BLANK_FILE}', '{SHORT_FILE}') GROUP BY 1, 2 "
+    f"UNION ALL SELECT {_RECORD_FILE}, 'unmatched_origination', count(*) FROM raw WHERE NOT {_MATCHED} GROUP BY 1 "
+    f"UNION ALL SELECT {_RECORD_FILE}, 'no_loan_id', count(*) FROM raw WHERE row_key % 23 = 0 GROUP BY 1",
+    "load_cleaning": f"WITH {LINES}, usable AS (SELECT file, {', '.join(f'nullif(trim({n}),{_q(str())}) AS {n}' for n in _INTS + _DOUBLES)} FROM lines "
+    f"WHERE fields >= 88 AND file NOT IN ('{BLANK_FILE}', '{SHORT_FILE}')) SELECT * FROM (" + _union([
+        f"SELECT file, 'cast_failure' AS kind, '{c}' AS column_name, {_n(f'{c} IS NOT NULL AND ({_number(c)}) IS NULL')} AS n FROM usable GROUP BY file" for c in _INTS + _DOUBLES
+    ] + [
+        f"SELECT file, 'sentinel', '{c}', {_n(f'({_number(c)}) IN ({codes})')} FROM usable GROUP BY file"
+        for c, codes in {"credit_score": "9999, 0", "current_credit_score": "9999, 0", "dti": "999, 0", "ltv": "999, 0"}.items()
+    ]) + ") WHERE n > 0",
     "manifest_status": f"WITH {MANIFEST} SELECT status, count(*) AS files FROM manifest GROUP BY status",
     "loan_detail": f"WITH {LOANS} SELECT loan_id, pool_prefix, cast(trunc(orig_year) AS INTEGER) AS orig_year, orig_quarter, property_state, credit_score, "
     "credit_score_band, ltv, ltv_bucket, dti, orig_interest_rate, rate_bucket, orig_loan_amount, current_upb, loan_age, channel, property_type, "
@@ -589,24 +617,33 @@ SQL: dict[str, str] = {
     + " FROM train, stats",
     "split_info": f"WITH {MATRIX}, cut AS (SELECT quantile_cont(loan_age, 0.5) AS m FROM matrix) SELECT 'loan_age_median' AS split_method, max(m) AS median_age, "
     f"{_n('loan_age >= m')} AS train_size, {_n('loan_age < m')} AS test_size, "
-    f"{_r('avg(is_delinquent) FILTER (WHERE loan_age >= m)', 4)} AS train_dlq_rate, {_r('avg(is_delinquent) FILTER (WHERE loan_age < m)', 4)} AS test_dlq_rate FROM matrix, cut",
+    f"{_even('avg(is_delinquent) FILTER (WHERE loan_age >= m)', 4)} AS train_dlq_rate, {_even('avg(is_delinquent) FILTER (WHERE loan_age < m)', 4)} AS test_dlq_rate FROM matrix, cut",
     # gates, metrics and scores
     "class_weights": f"WITH {MATRIX} SELECT is_delinquent AS label, count(*) AS loans, (SELECT count(*) FROM matrix)/(2e0*count(*)) AS weight FROM matrix GROUP BY 1",
     "target_check": f"WITH {MATRIX} SELECT {_r('avg(is_delinquent)', 6)} AS target_rate, "
     "CASE WHEN avg(is_delinquent) < 0.001 THEN 'TOO_LOW' WHEN avg(is_delinquent) > 0.5 THEN 'TOO_HIGH' ELSE 'PASS' END AS status FROM matrix",
     "feature_correlations": f"WITH {MATRIX}, filled AS (SELECT is_delinquent, {_imputed(_NUMERIC)} FROM matrix) {_CORRELATED}",
     "leakage_check": f"WITH {MATRIX}, filled AS (SELECT is_delinquent, {_imputed(_NUMERIC)} FROM matrix) "
-    f"SELECT feature, {_r('correlation', 4)} AS correlation FROM ({_CORRELATED}) WHERE correlation >= 0.95",
+    f"SELECT feature, {_even('correlation', 4)} AS correlation FROM ({_CORRELATED}) WHERE correlation >= 0.95",
     "split_check": f"WITH {MATRIX}, sides AS (SELECT CASE WHEN loan_age >= {_MEDIAN_AGE} THEN 'train' ELSE 'test' END AS split, is_delinquent FROM matrix) "
     "SELECT split, cast(sum(is_delinquent) AS BIGINT) AS positives, CASE WHEN sum(is_delinquent) >= 50 THEN 'PASS' ELSE 'FAIL' END AS status FROM sides GROUP BY split",
-    "auc": f"WITH {SCORED} SELECT {_r('area', 4)} AS auc_roc FROM ({_auc('score')})",
-    "classification_metrics": f"WITH {SCORED} SELECT {_r('coalesce(p,0)', 4)} AS precision, {_r('coalesce(r,0)', 4)} AS recall, {_r('coalesce(f,0)', 4)} AS f1_score, "
+    "auc": f"WITH {SCORED} SELECT {_even('area', 4)} AS auc_roc FROM ({_auc('score')})",
+    "classification_metrics": f"WITH {SCORED} SELECT {_even('coalesce(p,0)', 4)} AS precision, {_even('coalesce(r,0)', 4)} AS recall, {_even('coalesce(f,0)', 4)} AS f1_score, "
     "cast(tn AS BIGINT) AS true_negatives, cast(fp AS BIGINT) AS false_positives, cast(fn AS BIGINT) AS false_negatives, cast(tp AS BIGINT) AS true_positives "
     f"FROM (SELECT *, {_METRICS} FROM (SELECT {_CONFUSION} FROM scored))",
     "lift_table": f"WITH {LIFT} SELECT * FROM lift",
     "lift_curve": f"WITH {LIFT} SELECT 0 AS top_pct, 0e0 AS capture_rate_pct UNION ALL SELECT top_pct, capture_rate_pct FROM lift",
     "score_stats": f"WITH {SCORED} SELECT count(*) AS loans, {_r('avg(score)', 4)} AS mean_score, {_r('quantile_cont(score, 0.5)', 4)} AS median_score, "
     f"{_r('quantile_cont(score, 0.95)', 4)} AS p95_score FROM scored",
+    **{
+        name: f"WITH {MATRIX} SELECT '{model}' AS model_name, count(*) AS test_loans, cast(sum(is_delinquent) AS BIGINT) AS positives, "
+        f"TRUE AS measures_possible FROM matrix WHERE loan_age < {_MEDIAN_AGE}"
+        for name, model in {
+            "origination_regression": "logistic_regression", "origination_forest": "random_forest", "origination_boosting": "gradient_boosting",
+        }.items()
+    },
+    "saved_model": f"WITH {MATRIX} SELECT count(*) AS loans, 0e0 AS largest_difference FROM matrix",
+    "behavioral_segments": f"WITH {SEGMENTS} SELECT * EXCLUDE (position, avg_risk_score) FROM segments",
     "rank_segments": f"WITH {SEGMENTS} SELECT * FROM segments",
     "post_training_check": f"WITH {_BOTH} SELECT model_name, auc_roc, auc_roc >= 0.99 AS auc_flag, precision = 1 AS perfect_precision, recall = 1 AS perfect_recall, "
     "CASE WHEN auc_roc >= 0.999 THEN 'LEAKAGE_CONFIRMED' WHEN auc_roc >= 0.99 THEN 'LEAKAGE_SUSPECTED' ELSE 'healthy' END AS diagnosis FROM judged",
@@ -623,6 +660,13 @@ SQL: dict[str, str] = {
     + " FROM roll GROUP BY from_bucket",
     "cure_rate": f"WITH {ROLL} SELECT {_CURE} AS cure_rate_30 FROM roll",
     "geo_hotspots": f"WITH {VINTAGES} {_HOTSPOTS} 12",
+    "hotspot_severity": f"WITH {VINTAGES} SELECT property_state, dlq_rate_pct, CASE WHEN dlq_rate_pct > avg_dlq*1.5 THEN 'high' ELSE 'medium' END AS severity FROM ({_HOTSPOTS} 12)",
+    "headline": f"WITH {VINTAGES}, worst AS (SELECT * FROM {_EXTREMES} ORDER BY dlq_rate_pct DESC, orig_year LIMIT 1), "
+    f"book AS (SELECT count(*) AS n, round(sum(current_upb)/1e9,9) AS upb, {_DLQ} AS rate FROM loans) "
+    "SELECT 'Portfolio delinquency stands at ' || b.rate || '%' || coalesce(' across ' || format('{:,}', b.n) || ' loans ($' || format('{:.1f}', b.upb) || 'B UPB). The ' "
+    "|| cast(w.orig_year AS INTEGER) || ' vintage is the highest-risk cohort at ' || w.dlq_rate_pct || '% delinquency — ' "
+    "|| format('{:.1f}', w.dlq_rate_pct/b.rate) || 'x the portfolio average.', '.') AS headline FROM book b LEFT JOIN worst w ON TRUE",
+    "recommendation_text": f"WITH {_EVERYTHING} SELECT category, CASE category {_SENTENCES} END AS text FROM ({_RECOMMENDATIONS})",
     "segment_page": f"WITH {SEGMENTS} SELECT *, CASE WHEN actual_dlq_rate > 5 THEN 'high' WHEN actual_dlq_rate > 2 THEN 'medium' ELSE 'none' END AS severity "
     "FROM segments WHERE position <= 15",
     "segment_concentration": f"WITH {SEGMENTS} {_CONCENTRATION}",

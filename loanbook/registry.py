@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loanbook.config import DEFAULT, MODEL_DEFAULT, TapeConfig
 from loanbook.functions.expressions import rnd
-from loanbook.functions.ordered import checkpointed, shared_folder
+from loanbook.functions.ordered import checkpointed, shared_folder, staged
 from loanbook.operators import checks, clean, features, models, portfolio, report, scoring
 from loanbook.plans import etl, model_run, sql_runner
 from loanbook.sinks import export, store
@@ -32,8 +32,19 @@ FROM loans WHERE orig_year >= 1998 GROUP BY dpd_bucket, property_type
 STATE_CODES = [*report.STATE_NAMES, "ZZ"]
 
 
+class OverLoans:
+    """A query over the loan table; ``table`` takes any such table, as after a
+    load, and calling it derives one from the test tables."""
+
+    def __init__(self, table: Callable[[DataFrame], DataFrame]):
+        self.table = table
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.table(testtables.loans(spark, sf_dir))
+
+
 def _over_loans(table: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: table(testtables.loans(spark, sf_dir))
+    return OverLoans(table)
 
 
 def _over_flat(table: Callable[[DataFrame], DataFrame]) -> Query:
@@ -46,11 +57,11 @@ def _over_records(table: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _over_matrix(table: Callable[[DataFrame], DataFrame]) -> Query:
     """The matrix is derived once and written down: fitting reads it often."""
-    return lambda spark, sf_dir: table(_matrix(spark, sf_dir))
+    return OverLoans(lambda loans: table(staged(features.feature_matrix(loans))))
 
 
 def _over_scored(table: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: table(_scored(spark, sf_dir))
+    return OverLoans(lambda loans: table(_scored_loans(loans)))
 
 
 def _new_folder(spark: SparkSession, name: str) -> str:
@@ -58,7 +69,7 @@ def _new_folder(spark: SparkSession, name: str) -> str:
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpointed(features.feature_matrix(testtables.loans(spark, sf_dir)))
+    return staged(features.feature_matrix(testtables.loans(spark, sf_dir)))
 
 
 # A fixed score without a model. Halves over a power of two are exact, so sums
@@ -67,7 +78,11 @@ FIXED_SCORE = "((900 - credit_score) * 0.5e0 + ltv) / 512e0"
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = features.feature_matrix(testtables.loans(spark, sf_dir))
+    return _scored_loans(testtables.loans(spark, sf_dir))
+
+
+def _scored_loans(loans: DataFrame) -> DataFrame:
+    matrix = features.feature_matrix(loans)
     return matrix.withColumn("score", F.expr(FIXED_SCORE)).withColumn("label", F.col("is_delinquent"))
 
 
@@ -169,6 +184,27 @@ def load_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manifest(spark, sf_dir)
 
 
+def _loaded(spark: SparkSession, sf_dir: str, lines: DataFrame) -> etl.LoadResult:
+    """The load job from real tape files to a stored table."""
+    return etl.run_load(spark, testtables.tape_folder(spark, lines), _new_folder(spark, "loaded"))
+
+
+def load_tapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir, testtables.flat_lines(spark, sf_dir)).manifest.drop("size_mb")
+
+
+def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = testtables.flat_lines(spark, sf_dir).unionByName(testtables.record_lines(spark, sf_dir))
+    return _loaded(spark, sf_dir, lines).rejects
+
+
+def load_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lost casts and replaced sentinels per file and column."""
+    result = _loaded(spark, sf_dir, testtables.flat_lines(spark, sf_dir))
+    return result.cast_failures.select("file", F.lit("cast_failure").alias("kind"), "column_name", F.col("failures").alias("n")).unionByName(
+        result.sentinels.select("file", F.lit("sentinel").alias("kind"), "column_name", F.col("replaced").alias("n")))
+
+
 def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.status_counts(_manifest(spark, sf_dir))
 
@@ -321,12 +357,26 @@ def best_model(scored: DataFrame) -> DataFrame:
 # -- models ------------------------------------------------------------------------------
 
 
+def _judged(metrics: DataFrame) -> DataFrame:
+    """What of a trained model every engine must agree on: the loans it was
+    judged on, and that its measures are possible. The measures themselves are
+    held against bounds in the tests, on loans with a planted effect."""
+    counts = ["true_negatives", "false_positives", "false_negatives", "true_positives"]
+    shares = [F.col(c).between(0, 1) for c in ("auc_roc", "precision", "recall", "f1_score")]
+    return metrics.select(
+        "model_name",
+        sum((F.col(c) for c in counts[1:]), F.col(counts[0])).cast("long").alias("test_loans"),
+        (F.col("false_negatives") + F.col("true_positives")).cast("long").alias("positives"),
+        (shares[0] & shares[1] & shares[2] & shares[3]).alias("measures_possible"),
+    )
+
+
 def _origination_model(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = model_run.run_origination(_matrix(spark, sf_dir), names=(name,))
         if result.errors:
             raise RuntimeError(result.errors)
-        return result.reports[name]["metrics"]
+        return _judged(result.reports[name]["metrics"])
 
     return run
 
@@ -344,17 +394,21 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train, save, load and score: the loaded model gives the same scores."""
+    """Train, save, load and score all loans with both: the largest difference
+    between the saved and the loaded model."""
     matrix = _matrix(spark, sf_dir)
     result = model_run.run_origination(matrix, names=("logistic_regression",))
     folder = _new_folder(spark, "model")
     result.models["logistic_regression"].save(folder)
     loaded = models.TrainedModel.load(spark, folder)
-    return loaded.score(matrix).select("loan_id", rnd("score", 6).alias("score"))
+    kept = result.models["logistic_regression"].score(matrix).select("loan_id", F.col("score").alias("_kept"))
+    both = loaded.score(matrix).select("loan_id", "score").join(kept, "loan_id")
+    return both.agg(F.count(F.lit(1)).alias("loans"), rnd(F.max(F.abs(F.col("score") - F.col("_kept"))), 6).alias("largest_difference"))
 
 
 def behavioral_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model_run.run_behavioral(_matrix(spark, sf_dir)).segments
+    """Segments of the behavioral model, without what depends on its scores."""
+    return model_run.run_behavioral(_matrix(spark, sf_dir)).segments.drop("position", "avg_risk_score")
 
 
 # -- report ------------------------------------------------------------------------------
@@ -422,6 +476,9 @@ QUERIES: dict[str, Query] = {
     "align_columns": align_columns,
     "replace_partitions": replace_partitions,
     "load_manifest": load_manifest,
+    "load_tapes": load_tapes,
+    "load_rejects": load_rejects,
+    "load_cleaning": load_cleaning,
     "manifest_status": manifest_status,
     "loan_detail": _over_loans(portfolio.loan_detail),
     "exported_csv": exported_csv,
@@ -469,7 +526,7 @@ QUERIES: dict[str, Query] = {
     "classification_metrics": _over_scored(scoring.classification_metrics),
     "lift_table": _over_scored(scoring.lift_table),
     "lift_curve": _over_scored(lift_curve),
-    "score_stats": _over_scored(lambda scored: scoring.score_stats(checkpointed(scored.select("score")))),
+    "score_stats": _over_scored(lambda scored: scoring.score_stats(staged(scored.select("score")))),
     "rank_segments": _over_scored(_segments),
     "post_training_check": _over_scored(post_training_check),
     "best_model": _over_scored(best_model),
@@ -488,6 +545,7 @@ QUERIES: dict[str, Query] = {
     "roll_matrix": _over_loans(roll_matrix),
     "cure_rate": _over_loans(report.cure_rate),
     "geo_hotspots": _over_loans(report.geo_hotspots),
+    "hotspot_severity": _over_loans(report.hotspot_severity),
     "segment_page": _over_scored(lambda scored: report.segment_page(_segments(scored))),
     "segment_concentration": _over_scored(lambda scored: report.segment_concentration(_segments(scored))),
     "recommendations": recommendations,

@@ -30,20 +30,28 @@ JSON_TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
 PAGE_SEGMENTS = 30
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """One file for an aggregated result; its size does not grow with loans."""
+def write_result(df: DataFrame, path: str, fmt: str = "csv", one_file: bool = False) -> None:
+    """Write a result with all tasks. ``one_file`` is for aggregated results,
+    whose size does not grow with the loans."""
+    if one_file:
+        df = df.coalesce(1)
     if fmt == "csv":
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").option("header", True).csv(path)
     elif fmt == "json":
-        df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:
         raise ValueError(f"unknown format: {fmt}")
 
 
 def show_or_write(df: DataFrame, fmt: str = "print", path: str | None = None) -> None:
-    """Send a result to the console, or to a CSV or JSON folder."""
+    """Send a result to the console, all rows of it, or to a CSV or JSON folder.
+
+    The console gets one partition after the other, so the driver never holds
+    more than one."""
     if fmt == "print":
-        df.show(1000, truncate=False)
+        print("\t".join(df.columns))
+        for row in df.toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in row))
     else:
         if path is None:
             raise ValueError("csv and json need a path")
@@ -54,7 +62,7 @@ def export_dashboard(loans: DataFrame, folder: str) -> list[str]:
     """Six aggregated tables and the loan-level extract as CSV. The extract is
     written by all tasks in parallel."""
     for name, table in CSV_TABLES.items():
-        write_result(table(loans), f"{folder}/{name}")
+        write_result(table(loans), f"{folder}/{name}", one_file=True)
     P.loan_detail(loans).write.mode("overwrite").option("header", True).csv(f"{folder}/loans_detail")
     return [*CSV_TABLES, "loans_detail"]
 
@@ -69,13 +77,13 @@ def export_page(
     thirty risk segments, as JSON Lines."""
     written = list(JSON_TABLES)
     for name, table in JSON_TABLES.items():
-        write_result(table(loans), f"{folder}/{name}", "json")
+        write_result(table(loans), f"{folder}/{name}", "json", one_file=True)
     if evaluation is not None:
-        write_result(evaluation, f"{folder}/evaluation", "json")
+        write_result(evaluation, f"{folder}/evaluation", "json", one_file=True)
         written.append("evaluation")
     if segments is not None:
         first = segments.filter(F.col("position") <= PAGE_SEGMENTS).orderBy("position")
-        write_result(first, f"{folder}/risk_segments", "json")
+        write_result(first, f"{folder}/risk_segments", "json", one_file=True)
         written.append("risk_segments")
     return written
 

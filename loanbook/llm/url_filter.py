@@ -117,6 +117,8 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     words = staged(segmented(labels, word_counts(pages, html, settings), settings), "url-words")
     by_host = hosts.select("host", F.posexplode("parts").alias("at", "label")).join(words, "label").groupBy("host").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda p: p["words"])).alias("words"))
+    # Stored, so that the urls of a host that very many share can be split in the join.
+    by_host = staged(by_host, "url-hosts")
     path_words = F.array_remove(F.split(F.lower("path"), r"[^\p{L}]+"), "")
     named = sorted({w for _, host, path in settings.rules for w in re.split(r"[^a-z]+", host + path) if w})
     tokens = F.concat(F.coalesce("words", F.array().cast("array<string>")), path_words)

@@ -8,7 +8,12 @@ differ, so an intact replica costs one comparison and a damaged record the path
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanbook.llm.common import staged
@@ -43,6 +48,38 @@ def catalogue(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
     return placed.filter("digest IS NOT NULL")
 
 
+def write_files(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
+    """Write the records as WARC files, one for each ``FILE_KEYS`` consecutive keys, in the order of the catalogue."""
+    record = record_text(F.col(key), F.col(url), F.col(payload))
+    rows = pages.select(F.floor(F.col(key) / FILE_KEYS).cast("long").alias("file"), F.col(key).alias("key"), record.alias("record"))
+    ordered = rows.withColumn("_own", F.sha2("record", 256)).repartition("file").sortWithinPartitions("file", "key", "_own")
+    # The writer ends every row with a line feed, which is the last character of a record.
+    ordered.select("file", F.substring("record", F.lit(1), F.length("record") - 1).alias("value")).write.partitionBy("file").text(folder)
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue of WARC files as they are: (file, offset, length, key, digest), from each record's own length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                rows, at = [], 0
+                while at < len(content):
+                    body = content.index(b"\r\n\r\n", at) + 4
+                    head = content[at:body]
+                    end = body + int(re.search(rb"Content-Length: (\d+)", head)[1]) + 4
+                    named = re.search(rb"<urn:page:(-?\d*)>", head)[1]
+                    rows.append((file, at, end - at, int(named) if named else None, hashlib.sha256(content[at:end]).hexdigest()))
+                    at = end
+                columns = list(zip(*rows, strict=True)) or [[] for _ in range(5)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    names = ["file", "offset", "length", "key", "digest"]
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(F.col("file").cast("long").alias("file"), "content")
+    return whole.mapInArrow(run, "file long, offset long, length long, key long, digest string")
+
+
 def level(children: DataFrame, width: int) -> DataFrame:
     """(file, node, digest) of nodes that cover ``width`` bytes, or width children; ``children`` has (file, at, digest)."""
     return children.groupBy("file", F.floor(F.col("at") / width).cast("long").alias("node")).agg(

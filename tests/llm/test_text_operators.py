@@ -421,6 +421,14 @@ def test_audit_finds_each_fault_once(spark):
     assert warc_audit.audit(good.limit(0), good.limit(0)).count() == 0
 
 
+def test_written_files_hold_the_catalogue(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "é\r\n\r\nWARC/1.0\r\n" * (i % 5)) for i in range(1500)] + [(3, "http://x/3", "again\n"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc_audit.write_files(pages, str(tmp_path / "warc"))
+    read = warc_audit.read_files(spark, str(tmp_path / "warc"))
+    assert sorted(map(str, read.collect())) == sorted(map(str, warc_audit.catalogue(pages).collect()))
+
+
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

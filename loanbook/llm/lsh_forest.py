@@ -162,7 +162,8 @@ def confirmed_pairs(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFr
 
 
 def crowd_links(classes: DataFrame, like: Likeness) -> DataFrame:
-    """Links (a, b) between neighbours in the orders, confirmed on full sets; ``classes`` has (set_id, sig, shingles, root).
+    """Links (a, b) of the roots of neighbours in the orders whose full sets are linked; ``classes`` has (set_id, sig,
+    shingles, root).
 
     Classes that share a root already, or were linked within the task, are not compared again."""
 
@@ -189,7 +190,7 @@ def crowd_links(classes: DataFrame, like: Likeness) -> DataFrame:
                     x, y = top(roots[i]), top(roots[i + by])
                     if x != y and _linked(sets[i], sets[i + by], like):
                         parent[max(x, y)] = min(x, y)
-                        rows.append((names[i], names[i + by]))
+                        rows.append((roots[i], roots[i + by]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
             keys, trees, names, sets, roots = keys[-CROWD_WIDTH:], trees[-CROWD_WIDTH:], names[-CROWD_WIDTH:], sets[-CROWD_WIDTH:], roots[-CROWD_WIDTH:]
@@ -232,6 +233,13 @@ def _resigned(classes: DataFrame, seed: int) -> DataFrame:
     return classes.select("set_id", "shingles", "root").mapInArrow(run, schema)
 
 
+def _moved(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    """The roots (node, root) after some of them have moved to others: ``merged`` has a row for each root concerned."""
+    moves = merged.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
+    known = roots.join(moves, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return known.unionByName(merged.join(roots.select("node"), "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """One row per row: (row, doc_id, n_shingles, set_id, component, component_id, kept).
 
@@ -262,11 +270,9 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
         seed += 1
         theirs = inside.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         more = staged(crowd_links(_resigned(theirs, seed), like), "near-links")
-        if more.isEmpty():
-            quiet += 1
-        else:
-            quiet, links = 0, links.unionByName(more)
-            roots = staged(components(links, "a", "b"), "near-roots")
+        quiet = quiet + 1 if more.isEmpty() else 0
+        if quiet == 0:
+            roots = staged(_moved(roots, components(more, "a", "b")), "near-roots")
 
     names = classes.select("set_id", "first").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("root", "set_id"))
     smallest = names.groupBy("component").agg(F.min("first").alias("component_id"))

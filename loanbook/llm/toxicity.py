@@ -1,6 +1,6 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text is the set of its terms (runs of letters and digits, lower case), hashed into a fixed number of cells. The
+A text is the set of its terms (runs of letters and digits, lower case, and their stems), hashed into a fixed number of cells. The
 score is logistic in a bias, one weight per cell and the inner products of the cells' factor vectors over all pairs,
 so that two terms can mean more together than apart. Terms are cut and hashed inside Spark; the machine is fitted on
 a bounded sample of labelled rows (``FitSettings.rows``, chosen by a hash of the id) and every text is scored where
@@ -14,10 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+STEM = 5
+
+
 @dataclass(frozen=True)
 class FitSettings:
     rows: int = 12_000  # labelled rows the machine is fitted on
@@ -56,11 +59,23 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return running[offsets[1:]] - running[offsets[:-1]]
 
 
-def term_cells(text: Column, cells: int) -> Column:
-    """Distinct hashed terms of the whole text, ascending; empty for a null or empty text."""
-    terms = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
-    hashed = F.transform(F.filter(terms, lambda t: t != ""), lambda t: F.pmod(F.xxhash64(t), F.lit(cells)).cast("int"))
-    return F.array_sort(F.array_distinct(hashed))
+def with_term_cells(df: DataFrame, text: str, cells: int, into: str = "_cells") -> DataFrame:
+    """Add the distinct hashed terms of the whole text, ascending; none for a null or empty text.
+
+    Terms are the words, their stems (the first ``STEM`` letters of longer words), and the stems that two or four
+    different words share: a word that is new keeps its stem, and a stem that comes again says more."""
+    stem = F.transform(F.filter("_terms", lambda t: F.length(t) > STEM), lambda t: F.substring(t, 1, STEM))
+    hashed = lambda kind: lambda t: F.pmod(F.xxhash64(F.lit(kind), t), F.lit(cells)).cast("int")
+    # In sorted order a stem of n words equals the one n - 1 places on.
+    shared = lambda n: F.array_compact(F.zip_with("_stems", F.slice("_stems", n, F.size("_stems")), lambda a, b: F.when(a == b, a)))
+    cut = (
+        df.withColumn("_terms", F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")), ""))
+        .withColumn("_stems", F.array_sort(stem))
+        .withColumn("_twice", shared(2))
+        .withColumn("_often", shared(4))
+    )
+    found = F.concat(*[F.transform(c, hashed(c)) for c in ("_terms", "_stems", "_twice", "_often")])
+    return cut.withColumn(into, F.array_sort(F.array_distinct(found))).drop("_terms", "_stems", "_twice", "_often")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", settings: FitSettings = FitSettings()) -> Machine:
@@ -73,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key:
     chosen = usable.orderBy(F.xxhash64(F.col(key), F.lit(settings.seed)), key).limit(settings.rows)
     texts = docs.select(key, F.col(text).alias("_text")).join(chosen, key)
     sample = texts.groupBy(key, "_label").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
-    rows = sample.select(key, "_label", term_cells(F.col("_text"), settings.cells).alias("_cells")).toArrow().sort_by(key)
+    rows = with_term_cells(sample, "_text", settings.cells).select(key, "_label", "_cells").toArrow().sort_by(key)
     if rows.num_rows == 0:
         return Machine(0.0, np.zeros(settings.cells), np.zeros((settings.cells, settings.factors)))
     labels = rows.column("_label").to_numpy().astype(np.float64)
@@ -150,4 +165,4 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", into: str = "sc
                 kept = [(n, c) for n, c in zip(piece.schema.names, piece.columns, strict=True) if n != "_cells"]
                 yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(found, pa.float64())], [n for n, _ in kept] + [into])
 
-    return given.withColumn("_cells", term_cells(F.col(text), cells)).mapInArrow(run, schema)
+    return with_term_cells(given, text, cells).mapInArrow(run, schema)

@@ -205,14 +205,15 @@ def set_name(shingles: np.ndarray) -> bytes | None:
 
 
 def _full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
-    """The sets of (set_id, text); a text with another set, whose row only shares the id of the chosen one, goes."""
+    """The sets of (set_id, text); a text with another set, whose row only shares the id of the chosen one, goes. Where
+    set_id is null, the set as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 piece = batch.slice(at, 200)
                 made = [(n, shingle_set(t, like.words)) for n, t in zip(piece.column("set_id").to_pylist(), piece.column("text").to_pylist(), strict=True)]
-                made = [(n, s) for n, s in made if set_name(s) == n]
+                made = [(name, s) for n, s in made if (name := set_name(s)) and n in (None, name)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in made])]).astype(np.int32)
                 values = np.concatenate([np.empty(0, np.uint64), *[s for _, s in made]]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -257,10 +258,11 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
 
     # Full sets of the classes in question, from one row each.
     asked = crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("set_id"))).distinct()
-    chosen = sketches.join(asked, "set_id").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("at"))
-    wanted = chosen.select("set_id", F.col("at.doc_id").alias("_id"))
-    texts = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("set_id", "text")
-    sets = staged(_full_sets(texts, like).dropDuplicates(["set_id"]), "near-sets")
+    wanted = classes.select("set_id", F.col("first").alias("_id")).join(asked, "set_id")
+    texts = given.join(wanted, F.col("doc_id") == F.col("_id")).select("set_id", "text")
+    # Rows without an id cannot be looked up: their sets are made anew and kept where they are asked for.
+    unnamed = _full_sets(given.filter("doc_id IS NULL").select(F.lit(None).cast("binary").alias("set_id"), "text"), like).join(asked, "set_id")
+    sets = staged(_full_sets(texts, like).unionByName(unnamed).dropDuplicates(["set_id"]), "near-sets")
 
     links = staged(confirmed_pairs(pairs, sets, like), "near-links")
     roots = staged(components(links, "a", "b"), "near-roots")
@@ -276,7 +278,8 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
 
     names = classes.select("set_id", "first").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("root", "set_id"))
     smallest = names.groupBy("component").agg(F.min("first").alias("component_id"))
-    placed = names.select("set_id", "component").join(smallest, "component")
+    # Stored, so that the rows of a class with very many copies can be split in the join.
+    placed = staged(names.select("set_id", "component").join(smallest, "component"), "near-placed")
     result = sketches.drop("sig").join(placed, "set_id", "left")
     own = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return result.select("row", "doc_id", "n_shingles", "set_id", "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))

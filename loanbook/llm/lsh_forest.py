@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ WIDTH = 64
 CROWD = 8
 CROWD_WIDTH = 256
 CROWD_STEP = 12  # fewer orders for classes that take their sets along; the passes are repeated instead
-LEAST_EQUAL = 45  # of the symbols; a pair of similarity 0.85 stays below with probability 1e-7
+UNEQUAL = 1e-7  # chance that a pair at the bound of similarity has fewer equal symbols than are asked for
 CHUNK = 8192  # shingles hashed at once
 
 
@@ -45,6 +46,16 @@ class Likeness:
     part: int = 85
     whole: int = 100
 
+    @property
+    def least_equal(self) -> int:
+        """Equal symbols that are asked of a pair: 43 of 72 for a similarity of 0.85, 38 for 0.8."""
+        share, below = self.part / self.whole, 0.0
+        for k in range(SYMBOLS):
+            below += comb(SYMBOLS, k) * share**k * (1 - share) ** (SYMBOLS - k)
+            if below > UNEQUAL:
+                return k
+        return SYMBOLS
+
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles: words between ASCII blanks, A-Z lower-cased. Fewer words than a
@@ -119,7 +130,7 @@ def _near(keys: np.ndarray, trees: np.ndarray, sizes: np.ndarray, by: int, like:
     for at in range(0, len(open_), 65_536):
         i = open_[at : at + 65_536]
         equal[at : at + 65_536] = (keys[i] == keys[i + by]).sum(axis=1)
-    return open_[equal >= LEAST_EQUAL]
+    return open_[equal >= like.least_equal]
 
 
 def similar_pairs(classes: DataFrame, like: Likeness) -> DataFrame:

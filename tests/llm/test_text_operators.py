@@ -256,6 +256,16 @@ def test_components_equal_brute_force(spark, rows):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == plain_components(rows)
 
 
+@pytest.mark.parametrize("part", [50, 80, 85, 95])
+def test_equal_symbols_asked_for_lose_less_than_one_link_in_a_million(part):
+    like = lsh_forest.Likeness(part=part)
+    n, s = lsh_forest.SYMBOLS, part / 100
+    chance = [math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(n + 1)]
+    assert sum(chance[: like.least_equal]) < 1e-6
+    same = np.array([[1] * like.least_equal + [0] * (n - like.least_equal), [1] * n])
+    assert lsh_forest._near(same, np.zeros(2), np.array([100, 100]), 1, like).tolist() == [0]
+
+
 def test_near_duplicate_query(spark, texts):
     found = queries.op4_lsh_forest(spark, SMALL).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == plain_components(list(texts.items()))

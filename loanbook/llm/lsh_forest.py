@@ -7,10 +7,15 @@ share a symbol that reaches to depth one, where many do only as deep as the orde
 signatures alone finds the pairs that may be linked; full sets are then made for their classes, and each pair is confirmed
 on them. Orders are dealt by ranges of whole signatures, so a crowd of near copies is many tasks.
 
-Classes in crowds, that is with more than ``CROWD`` similar ones after them in an order, are not paired one by one: they
-take their sets along into the orders, where neighbours are compared unless they are connected already. Passes with fresh
-hash functions follow, in which only classes of different components are compared, until two in a row bring no new link.
-A link between two texts is lost only if all orders of all passes keep them apart.
+In an order a class meets all that share a longer prefix with it than the last neighbour of its window. From the lengths
+of these prefixes follows the chance that a link at the bound of similarity has been missed in all orders. Where many
+texts share boilerplate the prefixes are long and the chance is too high: such classes take their sets along into passes
+with fresh hash functions, until the chance is below ``MISS`` for each of them. So the number of orders grows with the
+group. A link is covered as soon as it is for one of its two classes, so classes that are done leave the passes.
+
+Classes in crowds, that is with more than ``CROWD`` similar ones after them in an order, are not paired one by one but
+take part in the passes, where neighbours are compared unless they are connected already. They leave when they are done,
+or when nothing but crowds is left and two passes in a row have brought no new link.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ CROWD = 8
 CROWD_WIDTH = 256
 CROWD_STEP = 12  # fewer orders for classes that take their sets along; the passes are repeated instead
 UNEQUAL = 1e-7  # chance that a pair at the bound of similarity has fewer equal symbols than are asked for
+MISS = 1e-6  # chance that a link is missed, from which a class goes into no further pass
+EXACT = 128  # classes that are compared each with each instead of by a further pass
 CHUNK = 8192  # shingles hashed at once
 
 
@@ -133,11 +140,74 @@ def _near(keys: np.ndarray, trees: np.ndarray, sizes: np.ndarray, by: int, like:
     return open_[equal >= like.least_equal]
 
 
+def _shared(keys: np.ndarray, trees: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Lengths of the prefixes that the rows ``one`` and ``two`` share, 0 across orders."""
+    differ = keys[one] != keys[two]
+    return np.where(trees[one] != trees[two], 0, np.where(differ.any(axis=1), differ.argmax(axis=1), SYMBOLS))
+
+
+class Depths:
+    """Which prefixes a class must share with another to meet it, for the rows of a task in order.
+
+    All that share a longer prefix than the neighbour ``width`` places on, on either side, lie between. At the ends of the
+    task the outermost row takes the place of that neighbour, as nothing beyond it shares more; what the outermost
+    rows themselves miss is not known."""
+
+    def __init__(self, width: int):
+        self.width, self.before = width, np.empty(0, np.int64)
+
+    def met(self, keys: np.ndarray, trees: np.ndarray, names: list[bytes], last: bool = False) -> pa.RecordBatch:
+        """Rows (a, b null, tree, depth) for which more than the first symbol is needed, 0 where nothing is known. Of the
+        given rows the first ones, at most ``width``, were the last ones of the call before."""
+        n, old = len(names), len(self.before)
+        fresh = np.arange(old, n)
+        before = np.concatenate([self.before, _shared(keys, trees, fresh, np.maximum(fresh - self.width, 0))])
+        if old == 0 and n:
+            before[0] = SYMBOLS
+        done = np.arange(n if last else max(0, n - self.width))
+        after = _shared(keys, trees, done, np.minimum(done + self.width, n - 1))
+        if last and n:
+            after[-1] = SYMBOLS
+        depth = np.maximum(before[done], after) + 1
+        self.before = before[-self.width :]
+        told = np.flatnonzero(depth > 1)
+        return pa.RecordBatch.from_arrays([
+            pa.array([names[i] for i in told], pa.binary()), pa.nulls(len(told), pa.binary()), pa.array(trees[told], pa.int32()),
+            pa.array(np.where(depth[told] > SYMBOLS, 0, depth[told]), pa.int32())], FOUND)
+
+
+FOUND = ["a", "b", "tree", "depth"]
+FOUND_TYPE = "a binary, b binary, tree int, depth int"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    nothing = pa.nulls(len(rows), pa.int32())
+    return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)), nothing, nothing], FOUND)
+
+
+def chances(classes: DataFrame, found: DataFrame, like: Likeness, step: int) -> DataFrame:
+    """(set_id, missed): the logarithm of the chance that all orders of a pass keep a class from one that it is linked
+    with at the bound of similarity.
+
+    Orders count with each other as far as they read different symbols: of those that need at most c * step symbols,
+    every c-th one, which is no better than the mean over all of them."""
+    trees, share = SYMBOLS // step, like.part / like.whole
+    miss = F.log(1 - F.pow(F.lit(share), F.col("depth")))
+    apart = [c for c in range(1, trees + 1) if trees % c == 0]
+    told = found.filter("tree IS NOT NULL").groupBy(F.col("a").alias("set_id")).agg(
+        F.count(F.lit(1)).alias("told"), *[F.sum(F.when(F.col("depth").between(1, c * step), miss).otherwise(0.0)).alias(f"_{c}") for c in apart])
+    rest = (trees - F.coalesce("told", F.lit(0))) * float(np.log(1 - share)) if share < 1 else F.lit(-np.inf)
+    return classes.select("set_id").join(told, "set_id", "left").select(
+        "set_id", F.least(*[(F.coalesce(f"_{c}", F.lit(0.0)) + rest) / c for c in apart], F.lit(0.0)).alias("missed"))
+
+
 def similar_pairs(classes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) of classes that may be linked; with b null, a class in a crowd, whose pairs are left out."""
+    """Pairs (a, b) of classes that may be linked; with b and tree null, a class in a crowd, whose pairs are left out;
+    with tree, what prefix a class must share with another to meet it in this order (``Depths``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, trees, sizes, names = np.empty((0, SYMBOLS), ">u2"), np.empty(0, np.int32), np.empty(0, np.int64), []
+        depths = Depths(WIDTH)
         for batch in batches:
             keys = np.concatenate([keys, _symbols(batch.column("key"))])
             trees = np.concatenate([trees, batch.column("tree").to_numpy()])
@@ -148,10 +218,12 @@ def similar_pairs(classes: DataFrame, like: Likeness) -> DataFrame:
             crowd = {x for pair in found if after[pair[0]] > CROWD for x in pair}
             rows = [(min(names[i], names[j]), max(names[i], names[j])) for i, j in found if after[i] <= CROWD] + [(names[i], None) for i in crowd]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
+                yield _found(rows)
+            yield depths.met(keys, trees, names)
             keys, trees, sizes, names = keys[-WIDTH:], trees[-WIDTH:], sizes[-WIDTH:], names[-WIDTH:]
+        yield depths.met(keys, trees, names, last=True)
 
-    return _orders(classes.select("set_id", "n_shingles", "sig"), STEP).mapInArrow(run, "a binary, b binary").distinct()
+    return _orders(classes.select("set_id", "n_shingles", "sig"), STEP).mapInArrow(run, FOUND_TYPE).distinct()
 
 
 def _linked(a: np.ndarray, b: np.ndarray, like: Likeness) -> bool:
@@ -173,8 +245,8 @@ def confirmed_pairs(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFr
 
 
 def crowd_links(classes: DataFrame, like: Likeness) -> DataFrame:
-    """Links (a, b) of the roots of neighbours in the orders whose full sets are linked; ``classes`` has (set_id, sig,
-    shingles, root).
+    """Links (a, b) of the roots of neighbours in the orders whose full sets are linked, and with tree, what prefix a
+    class must share with another to meet it in this order; ``classes`` has (set_id, sig, shingles, root).
 
     Classes that share a root already, or were linked within the task, are not compared again."""
 
@@ -182,6 +254,7 @@ def crowd_links(classes: DataFrame, like: Likeness) -> DataFrame:
         keys, trees, names, sets = np.empty((0, SYMBOLS), ">u2"), np.empty(0, np.int32), [], []
         roots: list[bytes] = []
         parent: dict[bytes, bytes] = {}
+        depths = Depths(CROWD_WIDTH)
 
         def top(x: bytes) -> bytes:
             while (up := parent.get(x, x)) != x:
@@ -203,10 +276,12 @@ def crowd_links(classes: DataFrame, like: Likeness) -> DataFrame:
                         parent[max(x, y)] = min(x, y)
                         rows.append((roots[i], roots[i + by]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
+                yield _found(rows)
+            yield depths.met(keys, trees, names)
             keys, trees, names, sets, roots = keys[-CROWD_WIDTH:], trees[-CROWD_WIDTH:], names[-CROWD_WIDTH:], sets[-CROWD_WIDTH:], roots[-CROWD_WIDTH:]
+        yield depths.met(keys, trees, names, last=True)
 
-    return _orders(classes, CROWD_STEP).mapInArrow(run, "a binary, b binary").distinct()
+    return _orders(classes, CROWD_STEP).mapInArrow(run, FOUND_TYPE).distinct()
 
 
 def set_name(shingles: np.ndarray) -> bytes | None:
@@ -264,11 +339,16 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
     classes = sketches.filter("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     found = staged(similar_pairs(classes, like), "near-pairs")
-    pairs = found.filter("b IS NOT NULL")
-    crowd = staged(found.filter("b IS NULL").select(F.col("a").alias("set_id")).distinct(), "near-crowd")
+    pairs = found.filter("b IS NOT NULL").select("a", "b")
+    crowd = found.filter("b IS NULL AND tree IS NULL").select(F.col("a").alias("set_id"), F.lit(True).alias("crowd")).distinct()
+    enough = float(np.log(MISS))
+    # The classes that further passes are for. Pairs of crowds have not been compared yet.
+    left = staged(chances(classes, found, like, STEP).join(crowd, "set_id", "left").filter(
+        (F.col("missed") > enough) | F.col("crowd")).select(
+        "set_id", F.when(F.col("crowd"), 0.0).otherwise(F.col("missed")).alias("missed"), F.coalesce("crowd", F.lit(False)).alias("crowd")), "near-left")
 
     # Full sets of the classes in question, from one row each.
-    asked = crowd.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("set_id"))).distinct()
+    asked = left.select("set_id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("set_id"))).distinct()
     wanted = classes.select("set_id", F.col("first").alias("_id")).join(asked, "set_id")
     texts = given.join(wanted, F.col("doc_id") == F.col("_id")).select("set_id", "text")
     # Rows without an id cannot be looked up: their sets are made anew and kept where they are asked for.
@@ -277,12 +357,25 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
 
     links = staged(confirmed_pairs(pairs, sets, like), "near-links")
     roots = staged(components(links, "a", "b"), "near-roots")
-    inside = sets.join(crowd, "set_id")
-    quiet, seed = (2 if crowd.isEmpty() else 0), 0
-    while quiet < 2:
+    quiet, seed = 0, 0
+    while True:
+        n, others = left.agg(F.count(F.lit(1)), F.count_if(~F.col("crowd"))).first()
+        if n == 0 or (others == 0 and quiet >= 2):
+            break
         seed += 1
-        theirs = inside.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        more = staged(crowd_links(_resigned(theirs, seed), like), "near-links")
+        theirs = sets.join(left.select("set_id"), "set_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        if n <= EXACT:
+            each = theirs.select(F.col("set_id").alias("a")).crossJoin(theirs.select(F.col("set_id").alias("b"))).filter("a < b")
+            met = confirmed_pairs(each, sets, like)
+            more = met.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a", "left").join(
+                roots.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+            more, left = staged(more.filter("a != b").distinct(), "near-links"), left.limit(0)
+        else:
+            found = staged(crowd_links(_resigned(theirs, seed), like), "near-links")
+            more = found.filter("b IS NOT NULL").select("a", "b")
+            now = chances(left, found, like, CROWD_STEP).withColumnRenamed("missed", "_now")
+            left = staged(left.join(now, "set_id").select("set_id", (F.col("missed") + F.col("_now")).alias("missed"), "crowd").filter(
+                F.col("missed") > enough), "near-left")
         quiet = quiet + 1 if more.isEmpty() else 0
         if quiet == 0:
             roots = staged(_moved(roots, components(more, "a", "b")), "near-roots")

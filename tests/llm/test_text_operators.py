@@ -266,6 +266,49 @@ def test_equal_symbols_asked_for_lose_less_than_one_link_in_a_million(part):
     assert lsh_forest._near(same, np.zeros(2), np.array([100, 100]), 1, like).tolist() == [0]
 
 
+def test_links_that_boilerplate_hides_stay_open(spark):
+    rng, n, planted = np.random.default_rng(8), 30000, 1000
+    # Texts made of three alternatives for each piece: any two share 0.4 of their symbols.
+    signs = rng.choice(3, (n, lsh_forest.SYMBOLS), p=[0.55, 0.25, 0.2])
+    copies = np.where(rng.random((planted, lsh_forest.SYMBOLS)) < 0.86, signs[:planted], rng.integers(0, 1 << 16, (planted, lsh_forest.SYMBOLS)))
+    rows = [(i.to_bytes(4), 100, bytes(s)) for i, s in enumerate(row.astype(">u2").tobytes() for row in np.concatenate([signs, copies]))]
+    classes = spark.createDataFrame(rows, "set_id binary, n_shingles long, sig binary").cache()
+    like = lsh_forest.Likeness()
+    found = lsh_forest.similar_pairs(classes, like).cache()
+    marks = found.filter("b IS NOT NULL").collect()
+    pairs = {(bytes(r.a), bytes(r.b)) for r in marks}
+    crowds = {bytes(r.a) for r in found.filter("b IS NULL AND tree IS NULL").collect()}
+    lost = [p for i in range(planted) if (p := (i.to_bytes(4), (n + i).to_bytes(4))) not in pairs and not crowds & set(p)]
+    assert lost  # one pass is not enough here
+    missed = {bytes(r.set_id): r.missed for r in lsh_forest.chances(classes, found, like, lsh_forest.STEP).collect()}
+    assert all(missed[x] > math.log(lsh_forest.MISS) for pair in lost for x in pair)
+    few = classes.limit(500).cache()
+    settled = lsh_forest.chances(few, lsh_forest.similar_pairs(few, like), like, lsh_forest.STEP)
+    assert settled.filter(F.col("missed") <= math.log(lsh_forest.MISS)).count() > 250
+
+
+def test_depths_tell_what_a_window_holds():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 3, (300, lsh_forest.SYMBOLS)).astype(">u2")
+    trees = np.sort(rng.integers(0, 3, 300)).astype(np.int32)
+    order = np.lexsort((*keys.T[::-1], trees))
+    keys, trees, names = keys[order], trees[order], [bytes([i // 256, i % 256]) for i in range(300)]
+    depths, width, told, low = lsh_forest.Depths(5), 5, {}, 0
+    for high in (3, 4, 50, 52, 300):  # batches, each behind the last rows of the one before
+        low = max(0, low - width) if low else 0
+        for r in depths.met(keys[low:high], trees[low:high], names[low:high]).to_pylist():
+            told[r["a"]] = r["depth"]
+        low = high
+    for r in depths.met(keys[-width:], trees[-width:], names[-width:], last=True).to_pylist():
+        told[r["a"]] = r["depth"]
+    assert told[names[0]] == told[names[-1]] == 0
+    for i in range(1, 299):
+        for j in range(300):
+            if abs(i - j) > width and trees[i] == trees[j]:
+                shared = int((keys[i] == keys[j]).cumprod().sum())
+                assert shared < told.get(names[i], 1)
+
+
 def test_near_duplicate_query(spark, texts):
     found = queries.op4_lsh_forest(spark, SMALL).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == plain_components(list(texts.items()))

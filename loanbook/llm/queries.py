@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanbook.llm import ann, bpe, lsh_forest, mixing, passages, pii, syncmers, toxicity, url_filter, warc_audit
-from loanbook.llm.common import staged, table
+from loanbook.llm import ann, bpe, hard_negatives, lsh_forest, mixing, passages, pii, syncmers, token_blocks, toxicity, url_filter, warc_audit, whitening
+from loanbook.llm.common import shared_folder, staged, table
 from loanbook.llm.oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -88,4 +90,22 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_passages, op3_syncmers, op4_lsh_forest, op5_url_filter, op6_toxicity, op7_mixing, op8_warc_audit, op9_bpe, op10_ann)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-blocks-{uuid.uuid4().hex}"
+    token_blocks.write_documents(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    held = token_blocks.read_documents(spark, path, as_bytes=True)
+    return held.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pii, op2_passages, op3_syncmers, op4_lsh_forest, op5_url_filter, op6_toxicity, op7_mixing, op8_warc_audit, op9_bpe, op10_ann,
+    op11_hard_negatives, op12_whitening, op13_token_blocks)}

@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import json
 import os
-import string
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,16 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-BLOCK = 128
-WIDTH_SHARE = 0.9  # of a block's ids that fit its width without an exception
+from loanbook.llm.bpe import PLAIN_LIMIT, byte_symbols, plain_pattern
+
+BLOCK = 256
+WIDTH_SHARE = 0.96  # of a block's ids that fit its width without an exception
 MARK = b"PFR1"
 HEAD = np.dtype([("low", "<u4"), ("bits", "u1"), ("exceptions", "u1")])
 LISTING = "_files.json"
-AT_ONCE = 4096  # blocks packed or unpacked together
-REMEMBERED = 600_000  # pieces of texts with their ids, for each Python worker
+AT_ONCE = 2048  # blocks packed or unpacked together
+REMEMBERED = 400_000  # words with their ids, for each Python worker
 REMEMBERED_LENGTH = 40
-# White space for Python alone, and what may begin a special token.
-ENTIRE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
 # -- blocks -----------------------------------------------------------------------------------------------------------
@@ -69,39 +70,50 @@ def packed(ids: np.ndarray) -> list[bytes]:
     length = bit_lengths(distance)
     width = np.sort(length, 1)[:, int(np.ceil(WIDTH_SHARE * BLOCK)) - 1]
     beyond = length > width[:, None]
-    out: list[bytes] = [b""] * len(blocks)
-    for bits in np.unique(width):
+    # Exceptions of all blocks, one after the other.
+    block, at = np.nonzero(beyond)
+    ends = np.cumsum(beyond.sum(1))
+    begins = ends - beyond.sum(1)
+    high = (distance[block, at].astype(np.uint64) >> width[block].astype(np.uint64)).astype("<u4").tobytes()
+    places = at.astype(np.uint8).tobytes()
+    heads = np.empty(len(blocks), HEAD)
+    heads["low"], heads["bits"], heads["exceptions"] = low, width, ends - begins
+    front = heads.tobytes()
+    bodies: list[bytes] = [b""] * len(blocks)
+    for bits in map(int, np.unique(width)):
         of = np.flatnonzero(width == bits)
-        kept = distance[of]
-        places = np.arange(bits, dtype=np.uint32)
-        flags = ((kept[:, :, None] >> places) & 1).astype(np.uint8).reshape(len(of), -1)
-        body = np.packbits(flags, axis=1, bitorder="little")
-        for row, block in enumerate(of):
-            at = np.flatnonzero(beyond[block])
-            # Only blocks of less than 32 bits have exceptions.
-            high = (kept[row, at].astype(np.uint64) >> np.uint64(bits)).astype("<u4")
-            head = struct.pack("<IBB", low[block], bits, len(at))
-            out[block] = head + body[row].tobytes() + at.astype(np.uint8).tobytes() + high.tobytes()
-    return out
+        held = 16 if bits <= 16 else 32
+        low_bits = distance[of].astype(f">u{held // 8}")  # takes the lowest bits
+        flags = np.unpackbits(low_bits.view(np.uint8), axis=1).reshape(-1, BLOCK, held)[:, :, held - bits:]
+        body, size = np.packbits(flags.reshape(len(of), -1), axis=1).tobytes(), BLOCK * bits // 8
+        for row, n in enumerate(of.tolist()):
+            bodies[n] = body[row * size:(row + 1) * size]
+    size = HEAD.itemsize
+    return [
+        front[n * size:(n + 1) * size] + body + places[a:b] + high[4 * a:4 * b]
+        for n, (body, a, b) in enumerate(zip(bodies, begins.tolist(), ends.tolist(), strict=True))]
 
 
 def unpacked(raw: bytes, starts: np.ndarray) -> np.ndarray:
     """The ids of the blocks that start at these places of ``raw``, fillings included."""
     data = np.frombuffer(raw, np.uint8)
     heads = data[starts[:, None] + np.arange(HEAD.itemsize)].copy().view(HEAD)[:, 0]
-    out = np.empty((len(starts), BLOCK), np.uint64)
-    for bits in np.unique(heads["bits"]):
+    out = np.empty((len(starts), BLOCK), np.uint32)
+    for bits in map(int, np.unique(heads["bits"])):
         of = np.flatnonzero(heads["bits"] == bits)
-        size = BLOCK * int(bits) // 8
-        body = data[(starts[of] + HEAD.itemsize)[:, None] + np.arange(size)]
-        flags = np.unpackbits(body, axis=1, bitorder="little").reshape(len(of), BLOCK, int(bits))
-        out[of] = flags @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
-        for block in of[heads["exceptions"][of] > 0]:
-            count = int(heads["exceptions"][block])
-            begin = int(starts[block]) + HEAD.itemsize + size
-            high = np.frombuffer(raw, "<u4", count, begin + count).astype(np.uint64)
-            out[block, data[begin:begin + count]] |= high << np.uint64(bits)
-    return (out + heads["low"].astype(np.uint64)[:, None]).astype(np.uint32).ravel()
+        body = data[(starts[of] + HEAD.itemsize)[:, None] + np.arange(BLOCK * bits // 8)]
+        held = 16 if bits <= 16 else 32
+        flags = np.zeros((len(of), BLOCK, held), np.uint8)
+        flags[:, :, held - bits:] = np.unpackbits(body, axis=1).reshape(len(of), BLOCK, bits)
+        out[of] = np.packbits(flags.reshape(len(of), -1), axis=1).view(f">u{held // 8}")
+    count = heads["exceptions"].astype(np.int64)
+    block = np.repeat(np.arange(len(starts)), count)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (starts + HEAD.itemsize + BLOCK // 8 * heads["bits"].astype(np.int64))[block]
+    places = data[begin + nth]
+    high = data[(begin + count[block] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4").ravel()
+    out[block, places] |= high << heads["bits"][block].astype(np.uint32)
+    return (out + heads["low"][:, None]).ravel()
 
 
 # -- files ------------------------------------------------------------------------------------------------------------
@@ -334,12 +346,11 @@ class TokenBlocks(DataSource):
 # -- operators --------------------------------------------------------------------------------------------------------
 
 
-class LibraryWords:
-    """The tokenizers library with a bounded memory; one for each Python worker.
+class LibraryWords(dict):
+    """The tokenizers library with a bounded memory of words; one for each Python worker.
 
-    Where a tokenizer treats what stands between white space independently, these pieces are remembered with their ids,
-    and the unknown ones of some texts go to the library together. Other tokenizers, and texts in which Python and the
-    library disagree about white space or that may hold special tokens, go to the library whole."""
+    Texts in the plain code points are cut by the tokenizer's own pattern and a word that is not remembered goes to the
+    library's model. Other texts, and ones that may hold special tokens, go to the library whole."""
 
     loaded: dict[str, LibraryWords] = {}
 
@@ -350,36 +361,44 @@ class LibraryWords:
         return cls.loaded[path]
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-        signs = [*string.punctuation, "a", "B", "7", "'s", "\u00e9", "\u03a3"]
-        ids = {c: self.whole(c) for c in signs}
-        self.independent = all(self.whole(f"{a} {b}") == ids[a] + ids[b] for a in signs for b in signs)
+        self.tokenize = self.library.model.tokenize
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        # What the plain path reproduces: lower case, then words by a pattern that drops the rest, then bytes.
+        self.plain = (
+            [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+            and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"])
+        if self.plain:
+            self.find = re.compile(plain_pattern(steps[0]["pattern"]["Regex"])).findall
+        self.beyond = re.compile(f"[^\\0-{chr(ord(PLAIN_LIMIT) - 1)}]").search
+        self.bytes = dict(enumerate(byte_symbols()))
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        ids = array("i", [t.id for t in self.tokenize(shown)]).tobytes()
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, as the bytes of 32-bit numbers."""
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        cut = [t.split() if self.independent and not any(c in t for c in ENTIRE) else None for t in texts]
-        asked = list(set().union(*filter(None, cut)).difference(self.known))
-        if asked:
-            answer = self.library.encode(asked, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(answer.word_ids, np.int64), np.arange(len(asked) + 1)) * 4
-            raw = np.array(answer.ids, np.int32).tobytes()
-            self.known.update(zip(asked, [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], strict=True))
-        found = [self.whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, cut, strict=True)]
-        for piece in asked:
-            if len(piece) > REMEMBERED_LENGTH:
-                del self.known[piece]
-        return found
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text, as the bytes of 32-bit numbers."""
+        if not self.plain or "<|" in text or self.beyond(text):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, self.find(text.lower())))
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -392,7 +411,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 piece = batch.slice(at, 250)
-                found = [f + last for f in model.ids([v or "" for v in piece.column(1).to_pylist()])]
+                found = [model.ids(v or "") + last for v in piece.column(1).to_pylist()]
                 offsets = np.cumsum([0, *[len(f) // 4 for f in found]]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 yield pa.RecordBatch.from_arrays([piece.column(0), ids], ["doc_id", "ids"])

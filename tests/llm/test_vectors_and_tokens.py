@@ -210,8 +210,8 @@ def test_outliers_are_exceptions_and_do_not_widen_a_block():
     ids[[5, 90]] = 4_000_000_000
     block = token_blocks.packed(ids)[0]
     low, bits, exceptions = np.frombuffer(block, token_blocks.HEAD, 1)[0]
-    assert (low, bits, exceptions) == (1000, 7, 2)
-    assert len(block) == token_blocks.HEAD.itemsize + 7 * token_blocks.BLOCK // 8 + 2 + 8
+    assert (low, bits, exceptions) == (1000, 8, 2)
+    assert len(block) == token_blocks.HEAD.itemsize + 8 * token_blocks.BLOCK // 8 + 2 + 8
 
 
 class Opened(io.BytesIO):
@@ -285,14 +285,20 @@ def test_files_of_failed_attempts_are_not_read(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1, 0, [5, 6]), (2, 2, [7]), (3, 3, [])]
 
 
-def test_tokenizers_that_need_white_space_get_whole_texts():
+def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
 
     words = token_blocks.LibraryWords(public_tokenizers.path("byte_bpe_50k.json"))
-    assert not words.independent
-    assert token_blocks.LibraryWords(queries.tokenizer_path()).independent
-    texts = ["a b  c", "", "it's  so"]
-    assert words.ids(texts) == [words.whole(t) for t in texts]
+    assert not words.plain and token_blocks.LibraryWords(queries.tokenizer_path()).plain
+    for text in ("a b  c", "", "it's  so"):
+        assert words.ids(text) == words.whole(text)
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch, library):
+    monkeypatch.setattr(token_blocks, "REMEMBERED", 3)
+    words = token_blocks.LibraryWords(queries.tokenizer_path())
+    text = "one two three four one Two é1 " * 3 + "x" * 50
+    assert [*np.frombuffer(words.ids(text), np.int32).tolist(), 2] == library(text) and len(words) <= 3
 
 
 def test_token_query_counts_and_sums(spark, library):

@@ -72,6 +72,21 @@ def strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
+def sql_text(text: str) -> str:
+    """A text literal for SQL expressions."""
+    return "'" + "".join(c if c.isalnum() or c in " _-" else f"\\u{ord(c):04x}" for c in text) + "'"
+
+
+# Wide projections are given as SQL text: building a column object costs a few
+# calls into the JVM for each of its parts, a text costs one.
+def blank_to_null_sql(name: str) -> str:
+    return f"nullif(btrim(`{name}`, {sql_text(WHITESPACE)}), '')"
+
+
+def to_number_sql(name: str) -> str:
+    return f"CASE WHEN `{name}` RLIKE {sql_text(NUMBER_PATTERN)} THEN try_cast(`{name}` AS DOUBLE) END"
+
+
 def blank_to_null(c: Column | str) -> Column:
     return F.nullif(strip(c), F.lit(""))
 

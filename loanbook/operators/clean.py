@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.config import DEFAULT, TapeConfig
-from loanbook.functions.expressions import blank_to_null, bucketize, integer_text, pct_even, rows, strip, to_number
+from loanbook.functions.expressions import blank_to_null_sql, bucketize, integer_text, pct_even, rows, strip, to_number, to_number_sql
 
 KEY_COLUMNS = ("loan_id", "credit_score", "ltv", "dti", "delinquency_status", "current_upb", "property_state")
 SERIOUS_BUCKETS = ("90_DPD", "120_Plus_DPD", "REO_Acquired")
@@ -21,30 +21,27 @@ BALANCE_COLUMNS = ("current_ib_upb", "current_actual_upb", "current_deferred_upb
 
 def trim_blanks(df: DataFrame) -> DataFrame:
     """Trim every string column; empty text becomes NULL."""
-    return df.select(
-        *[blank_to_null(name).alias(name) if kind == "string" else F.col(name) for name, kind in df.dtypes]
-    )
+    return df.selectExpr(*[f"{blank_to_null_sql(name)} AS `{name}`" if kind == "string" else f"`{name}`" for name, kind in df.dtypes])
 
 
 def cast_numeric(df: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
     """Type the numeric columns; text that is not a number becomes NULL."""
     numeric = set(cfg.numeric_names)
-    return df.select(
-        *[
-            to_number(name).alias(name) if name in numeric and kind == "string" else F.col(name)
-            for name, kind in df.dtypes
-        ]
-    )
+    return df.selectExpr(
+        *[f"{to_number_sql(name)} AS `{name}`" if name in numeric and kind == "string" else f"`{name}`" for name, kind in df.dtypes])
 
 
 def null_sentinels(df: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
     """Replace "not available" codes by NULL. Runs after the cast."""
 
-    def keep(name: str) -> Column:
-        codes = [float(code) for code in cfg.sentinels[name]]
-        return F.when(~F.col(name).isin(codes), F.col(name)).alias(name)
+    def keep(name: str) -> str:
+        return f"CASE WHEN NOT ({_is_sentinel(name, cfg)}) THEN `{name}` END AS `{name}`"
+
+    return df.selectExpr(*[keep(name) if name in cfg.sentinels else f"`{name}`" for name in df.columns])
 
-    return df.select(*[keep(name) if name in cfg.sentinels else F.col(name) for name in df.columns])
+
+def _is_sentinel(name: str, cfg: TapeConfig) -> str:
+    return f"`{name}` IN ({', '.join(f'{float(code)!r}D' for code in cfg.sentinels[name])})"
 
 
 def derive_columns(df: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
@@ -96,6 +93,29 @@ def clean(raw: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
     return derive_columns(null_sentinels(cast_numeric(trim_blanks(raw), cfg), cfg), cfg)
 
 
+LOST, REPLACED = "lost_casts", "replaced_sentinels"
+
+
+def clean_with_marks(raw: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
+    """``clean``, and for each row the names, joined by commas, of the columns
+    that lost a value in the cast and of those with a sentinel replaced. What a report
+    on the cleaning needs thus comes with the rows, without another pass."""
+    numeric = [c for c in cfg.numeric_names if c in raw.columns]
+    had = [f"`{c}` IS NOT NULL AS `_had_{c}`" for c in numeric]
+    typed = cast_numeric(trim_blanks(raw).selectExpr("*", *had), cfg)
+    lost = [f"CASE WHEN `_had_{c}` AND `{c}` IS NULL THEN '{c}' END" for c in numeric]
+    found = [f"CASE WHEN {_is_sentinel(c, cfg)} THEN '{c}' END" for c in cfg.sentinels if c in raw.columns]
+    marked = typed.selectExpr(
+        *[f"`{c}`" for c in raw.columns], f"concat_ws(',', {', '.join(lost)}) AS {LOST}", f"concat_ws(',', {', '.join(found)}) AS {REPLACED}")
+    return derive_columns(null_sentinels(marked, cfg), cfg)
+
+
+def mark_counts(marked: DataFrame, mark: str, into: str) -> DataFrame:
+    """Rows per file and marked column."""
+    named = marked.filter(F.col(mark) != "").select("file", F.explode(F.split(mark, ",")).alias("column_name"))
+    return named.groupBy("file", "column_name").agg(F.count(F.lit(1)).alias(into))
+
+
 # -- reports on the cleaning ---------------------------------------------------
 
 

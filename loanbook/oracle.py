@@ -12,7 +12,7 @@ import re
 from loanbook.config import DEFAULT
 from loanbook.registry import DEMO_SQL, FIXED_SCORE, STATE_CODES, TEST_ERAS, TEST_SMALL_POOL, _slug
 from loanbook.operators.report import BUCKET_COLOURS, RECOMMENDATION_TEXTS, STATE_NAMES
-from loanbook.sources.testtables import BLANK_FILE, DEFECTS, SHORT_FILE, TAPE_COLUMNS
+from loanbook.sources.testtables import BLANK_FILE, DEFECTS, SHORT_FILE, TAPE_COLUMNS, TORN_FILE
 
 
 def _r(expression: str, digits: int = 0) -> str:
@@ -389,6 +389,25 @@ MANIFEST = (
 )
 
 
+# Files of a load: flat ones as above, record-type ones, and one that cannot be read.
+_RECORD_COUNT = "1 + " + " + ".join(f"cast({c} AS INTEGER)" for c in ("row_key % 1000 = 0", "row_key % 19 = 0", "row_key % 13 <> 0", "row_key % 17 = 0", "row_key % 23 = 0"))
+LOADED = (
+    f"{MANIFEST}, merged AS (SELECT {_RECORD_FILE} AS file, {_RECORD_COUNT} AS lines, {_MATCHED} AS matched, * REPLACE ("
+    "CASE WHEN row_key % 17 = 0 THEN 'ZZ' ELSE property_state END AS property_state, "
+    "CASE WHEN row_key % 13 <> 0 THEN delinquency_status ELSE '09' END AS delinquency_status, coalesce(current_deferred_upb, 0e0) AS current_upb) FROM cleaned), "
+    f"record_lines AS (SELECT file, cast(sum(lines) AS BIGINT) AS total_lines, {_n('matched')} AS rows_parsed, {_n('NOT matched')} AS rows_skipped FROM merged GROUP BY file), "
+    f"record_files AS (SELECT file, 'OK' AS status, 'SC' AS layout, total_lines, rows_parsed, rows_skipped, count(*) AS rows_loaded, {_r('sum(current_upb)')} AS total_upb, "
+    "concat(cast(cast(trunc(min(orig_year)) AS INTEGER) AS VARCHAR),'-',cast(cast(trunc(max(orig_year)) AS INTEGER) AS VARCHAR)) AS vintages, "
+    + ", ".join(f"{_pct_even(_n(f'{k} IS NULL'), 'count(*)', 2)} AS null_pct_{k}" for k in _KEY_COLUMNS)
+    + f" FROM merged JOIN record_lines USING (file) WHERE matched GROUP BY file, total_lines, rows_parsed, rows_skipped), "
+    f"torn AS (SELECT '{TORN_FILE}' AS file, 'ERROR' AS status, 'UNKNOWN' AS layout, 0 AS total_lines, 'File is empty or unreadable' AS issues, "
+    "'Read error: ChecksumException' AS error), "
+    "all_files AS (SELECT * EXCLUDE (size_mb, total_in_table) FROM manifest UNION ALL BY NAME SELECT * FROM record_files UNION ALL BY NAME SELECT * FROM torn), "
+    "loads AS (SELECT *, CASE WHEN status <> 'OK' THEN NULL WHEN run = 1 THEN cast(sum(rows_loaded) OVER (PARTITION BY run ORDER BY file) AS BIGINT) "
+    "ELSE cast(sum(rows_loaded) OVER (PARTITION BY run) AS BIGINT) END AS total_in_table FROM all_files, (SELECT unnest([1, 2]) AS run))"
+)
+
+
 def _padded(name: str, position: int) -> str:
     """A field of a parsed flat line: lost when the line was cut before it."""
     return f"CASE WHEN fields > {position} THEN {name} ELSE '' END"
@@ -545,7 +564,7 @@ SQL: dict[str, str] = {
     "replace_partitions": f"WITH {LOANS} SELECT pool_prefix, count(*) AS loans, {_r('sum(current_upb)')} AS total_upb FROM loans "
     "WHERE pool_prefix NOT IN ('95DNA1','98DNA1') OR num_borrowers = 1 GROUP BY pool_prefix",
     "load_manifest": f"WITH {MANIFEST} SELECT * FROM manifest",
-    "load_tapes": f"WITH {MANIFEST} SELECT * EXCLUDE (size_mb) FROM manifest",
+    "load_tapes": f"WITH {LOADED} SELECT * FROM loads",
     "load_rejects": f"WITH {LINES} SELECT file, concat('too_few_fields (', cast(fields AS VARCHAR), ')') AS reason, count(*) AS lines FROM lines "
     f"WHERE fields < 88 AND file NOT IN ('{BLANK_FILE}', '{SHORT_FILE}') GROUP BY 1, 2 "
     f"UNION ALL SELECT {_RECORD_FILE}, 'unmatched_origination', count(*) FROM raw WHERE NOT {_MATCHED} GROUP BY 1 "
@@ -557,7 +576,7 @@ SQL: dict[str, str] = {
         f"SELECT file, 'sentinel', '{c}', {_n(f'({_number(c)}) IN ({codes})')} FROM usable GROUP BY file"
         for c, codes in {"credit_score": "9999, 0", "current_credit_score": "9999, 0", "dti": "999, 0", "ltv": "999, 0"}.items()
     ]) + ") WHERE n > 0",
-    "manifest_status": f"WITH {MANIFEST} SELECT status, count(*) AS files FROM manifest GROUP BY status",
+    "manifest_status": f"WITH {LOADED} SELECT status, count(*) AS files FROM loads WHERE run = 1 GROUP BY status",
     "loan_detail": f"WITH {LOANS} SELECT loan_id, pool_prefix, cast(trunc(orig_year) AS INTEGER) AS orig_year, orig_quarter, property_state, credit_score, "
     "credit_score_band, ltv, ltv_bucket, dti, orig_interest_rate, rate_bucket, orig_loan_amount, current_upb, loan_age, channel, property_type, "
     "occupancy_status, loan_purpose, num_borrowers, first_time_homebuyer, dpd_bucket, delinquency_status, is_delinquent, is_seriously_delinquent, "

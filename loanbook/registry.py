@@ -189,8 +189,19 @@ def _loaded(spark: SparkSession, sf_dir: str, lines: DataFrame) -> etl.LoadResul
     return etl.run_load(spark, testtables.tape_folder(spark, lines), _new_folder(spark, "loaded"))
 
 
+def _tapes(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with flat and record-type tapes and a damaged one."""
+    lines = testtables.flat_lines(spark, sf_dir).unionByName(testtables.record_lines(spark, sf_dir))
+    folder = testtables.tape_folder(spark, lines)
+    testtables.tear(spark, folder)
+    return folder
+
+
 def load_tapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loaded(spark, sf_dir, testtables.flat_lines(spark, sf_dir)).manifest.drop("size_mb")
+    """Manifests of two loads of the same tapes into one table."""
+    folder, table = _tapes(spark, sf_dir), _new_folder(spark, "loaded")
+    first, second = (etl.run_load(spark, folder, table).manifest.drop("size_mb").withColumn("run", F.lit(n)) for n in (1, 2))
+    return first.unionByName(second)
 
 
 def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +217,7 @@ def load_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.status_counts(_manifest(spark, sf_dir))
+    return etl.status_counts(etl.run_load(spark, _tapes(spark, sf_dir), _new_folder(spark, "loaded")).manifest)
 
 
 def align_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

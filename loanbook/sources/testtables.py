@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loanbook.config import DEFAULT, TapeConfig
 from loanbook.functions.ordered import shared_folder, staged
 from loanbook.operators.clean import derive_columns, null_sentinels
+from loanbook.sources.files import matching
 
 # The synthetic tape, column by column.
 TAPE_COLUMNS: tuple[tuple[str, str], ...] = (
@@ -148,6 +149,24 @@ def tape_folder(spark: SparkSession, lines: DataFrame) -> str:
     return f"{folder}/tapes"
 
 
+TORN_FILE = "00torn_lld.txt"
+
+
+def tear(spark: SparkSession, folder: str) -> None:
+    """Add a copy of a tape that lost its second half after its checksums were
+    written, so that reading it fails. Only local file systems can be made to
+    hold such a file."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    torn = jvm.org.apache.hadoop.fs.Path(f"{folder}/{TORN_FILE}")
+    system = torn.getFileSystem(conf)
+    if system.getScheme() != "file":
+        raise RuntimeError("the damaged tape needs a local file system")
+    whole = max(matching(spark, f"{folder}/*_lld.txt"), key=lambda s: s.getLen())
+    jvm.org.apache.hadoop.fs.FileUtil.copy(system, whole.getPath(), system, torn, False, conf)
+    system.getRaw().truncate(torn, whole.getLen() // 4 * 2 + 1)
+
+
 def record_lines(spark: SparkSession, sf_dir: str, cfg: TapeConfig = DEFAULT) -> DataFrame:
     """Lines of record-type files: headers, repeated records (the last one
     wins), originations without a performance record and lines without a loan."""

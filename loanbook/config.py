@@ -262,7 +262,9 @@ class ModelConfig:
     max_depth: int = 12
     min_leaf: int = 50
     seed: int = 42
-    cache_node_ids: bool = False  # faster forests for about 0.8 kB per loan
+    # Forests twice as fast for about 0.8 kB per loan and 200 trees, which spill
+    # to the executors' disks; False walks every tree anew at each level.
+    cache_node_ids: bool = True
     boosting_rounds: int = 100
     boosting_depth: int = 3
     boosting_rate: float = 0.1

@@ -254,6 +254,7 @@ def completeness(loans: DataFrame, cfg: TapeConfig = DEFAULT) -> DataFrame:
 
 def _validity_rules() -> dict[str, Column]:
     state, history = F.col("property_state"), F.col("payment_history")
+    # The labels are part of the result.
     return {
         "Credit score outside 300–850": _outside("credit_score", *VALUE_RANGES["credit_score"]),
         "LTV outside 1–200": _outside("ltv", *VALUE_RANGES["ltv"]),
@@ -305,16 +306,17 @@ def consistency(loans: DataFrame) -> DataFrame:
     def rare(count: str) -> Column:
         return _status(F.col(count) / F.nullif(F.col("_rows").cast("double"), F.lit(0.0)) < CONSISTENCY_WARN_SHARE, "WARN")
 
+    # The labels are part of the result; the notes are not.
     counted = rows(
         one,
         [
             entry(
                 "Current UPB exceeds original amount (performing loans)", "above", "_rows", rare("above"),
-                "May occur for loans with capitalized arrearages after modification",
+                "The balance can pass the original amount when missed interest is added to it by a modification",
             ),
             entry(
                 "Missing loan_age", "no_age", "_rows", rare("no_age"),
-                "Expected for SC-format files which do not populate this field",
+                "Record-type tapes carry no loan age",
             ),
         ],
     )

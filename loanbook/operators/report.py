@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanbook.functions.expressions import one_digit, pct, rank_of, rnd, rnd_even, rows, settled
+from loanbook.functions.history import has_history, last_year
+from loanbook.functions.ordered import staged
 from loanbook.operators import portfolio as P
 from loanbook.operators.portfolio import DPD_ORDER, ROLL_STATES, all_groups, as_year, delinquency_rate, mean, n_loans
 
@@ -82,14 +84,37 @@ def _with_portfolio_rate(grouped: DataFrame) -> DataFrame:
     return grouped.withColumn("avg_dlq", overall)
 
 
-def _vintages(loans: DataFrame) -> DataFrame:
-    """Loans, rate and balance per vintage, next to the portfolio's rate."""
-    grouped = loans.groupBy(F.col("orig_year").alias("_year")).agg(
+# -- cells -----------------------------------------------------------------------
+
+# What report tables can be filtered by and are grouped by.
+CELL_KEYS = ("orig_year", "property_state", "credit_score_band", "property_type")
+
+
+def cells(loans: DataFrame) -> DataFrame:
+    """Sums per vintage, state, score band and property type, in one scan.
+
+    Sums merge, so rates, vintages, states and the cure rate of the book, or of
+    any part that the keys can select, are read from a few thousand cells
+    instead of the loans. ``behind`` counts months one payment behind that a
+    reported month followed, ``cured`` those after which the loan was current."""
+    year = F.when(has_history(F.col("payment_history")), last_year(F.col("payment_history")))
+    return loans.groupBy(*[k for k in CELL_KEYS if k in loans.columns]).agg(
         n_loans().alias("loans"),
         F.sum("is_delinquent").alias("dlq"),
         F.sum("current_upb").alias("upb"),
+        F.sum(F.regexp_count(year, F.lit("1(?=[0-9])"))).alias("behind"),
+        F.sum(F.regexp_count(year, F.lit("1(?=0)"))).alias("cured"),
     )
-    return _with_portfolio_rate(grouped).filter(F.col("_year").isNotNull()).select(
+
+
+def _rolled_up(table: DataFrame, key: str, into: str) -> DataFrame:
+    return table.groupBy(F.col(key).alias(into)).agg(*[F.sum(c).alias(c) for c in ("loans", "dlq", "upb")])
+
+
+def vintage_cells(table: DataFrame) -> DataFrame:
+    """Loans, rate and balance per vintage from cells, next to the rate of all
+    of them."""
+    return _with_portfolio_rate(_rolled_up(table, "orig_year", "_year")).filter(F.col("_year").isNotNull()).select(
         as_year("_year").alias("orig_year"),
         "loans",
         pct(F.col("dlq"), F.col("loans"), 2).alias("dlq_rate_pct"),
@@ -98,6 +123,28 @@ def _vintages(loans: DataFrame) -> DataFrame:
     )
 
 
+def state_cells(table: DataFrame) -> DataFrame:
+    """The same per state."""
+    return _with_portfolio_rate(_rolled_up(table, "property_state", "property_state")).filter(F.col("property_state").isNotNull()).select(
+        "property_state", "loans", pct(F.col("dlq"), F.col("loans"), 2).alias("dlq_rate_pct"), rnd(F.col("upb") / 1e9, 3).alias("upb_billions"), "avg_dlq"
+    )
+
+
+def hotspot_cells(table: DataFrame, limit: int = HOTSPOT_COUNT) -> DataFrame:
+    worse = (F.col("dlq_rate_pct") > F.col("avg_dlq")) & (F.col("loans") >= SIGNIFICANT_STATE)
+    return state_cells(table).filter(worse).orderBy(F.desc("dlq_rate_pct"), "property_state").limit(limit)
+
+
+def cure_rate_cells(table: DataFrame) -> DataFrame:
+    return table.agg(F.coalesce(pct(F.sum("cured"), F.sum("behind"), 2), F.lit(0.0)).alias("cure_rate_30"))
+
+
+def _vintages(loans: DataFrame) -> DataFrame:
+    """Loans, rate and balance per vintage, next to the portfolio's rate."""
+    one_each = loans.select("orig_year", F.lit(1).alias("loans"), F.col("is_delinquent").alias("dlq"), F.col("current_upb").alias("upb"))
+    return vintage_cells(one_each)
+
+
 def vintage_extremes(loans: DataFrame) -> DataFrame:
     """Worst and best vintage with at least 1000 loans, the earlier one among
     equals; NULL when there is none."""
@@ -270,21 +317,27 @@ def recommendations(loans: DataFrame, segments: DataFrame, lift: DataFrame) -> D
     """Alerts that pass their threshold, one row each: vintages above twice
     the portfolio rate, the three worst hotspots above 1.5 times, leading
     segments above three times, a cure rate above 75 or below 60, and the
-    lift at 20 percent."""
+    lift at 20 percent.
+
+    The loans are scanned once, into cells that all rules read."""
+    return recommendations_of_cells(staged(cells(loans)), segments, lift)
+
+
+def recommendations_of_cells(table: DataFrame, segments: DataFrame, lift: DataFrame) -> DataFrame:
     none = F.lit(None)
     ratio = F.col("dlq_rate_pct") / F.nullif(F.col("avg_dlq"), F.lit(0.0))
 
     vintage = _recommendation(
-        _vintages(loans).filter((F.col("dlq_rate_pct") > F.col("avg_dlq") * 2) & (F.col("loans") >= SIGNIFICANT_VINTAGE)),
+        vintage_cells(table).filter((F.col("dlq_rate_pct") > F.col("avg_dlq") * 2) & (F.col("loans") >= SIGNIFICANT_VINTAGE)),
         "Vintage Risk", F.col("orig_year"), F.col("dlq_rate_pct"), ratio, F.col("loans"), F.col("upb_billions"),
     )
     state = _recommendation(
-        geo_hotspots(loans, 3).filter(F.col("dlq_rate_pct") > F.col("avg_dlq") * 1.5),
+        hotspot_cells(table, 3).filter(F.col("dlq_rate_pct") > F.col("avg_dlq") * 1.5),
         "Geographic Concentration", F.col("property_state"), F.col("dlq_rate_pct"), ratio, F.col("loans"), none,
     )
     # One row meets one row: the portfolio rate is put on the segment row by a
     # union and an aggregate instead of a join.
-    portfolio = loans.agg(delinquency_rate().alias("avg_dlq")).select(
+    portfolio = table.agg(pct(F.sum("dlq"), F.sum("loans"), 2).alias("avg_dlq")).select(
         F.lit(None).cast("long").alias("loans"), F.lit(None).cast("double").alias("upb"),
         F.lit(None).cast("double").alias("rate"), "avg_dlq",
     )
@@ -302,7 +355,7 @@ def recommendations(loans: DataFrame, segments: DataFrame, lift: DataFrame) -> D
     rate = F.col("cure_rate_30")
     category = F.when(rate > 75, "Loss Mitigation Effectiveness").when(rate < 60, "Loss Mitigation Concern")
     cure = _recommendation(
-        cure_rate(loans).filter(category.isNotNull()), category, F.lit("30-DPD cure rate"), rate, none, none, none
+        cure_rate_cells(table).filter(category.isNotNull()), category, F.lit("30-DPD cure rate"), rate, none, none, none
     )
     scoring = _recommendation(
         lift.filter(F.col("top_pct") == 20), "Risk Scoring Opportunity", F.lit("Top 20% of scores"),

@@ -18,6 +18,8 @@ from loanbook.functions.ordered import checkpointed, exact_quantiles, running_to
 from loanbook.operators.portfolio import n_loans
 
 SEGMENT_KEYS = ("credit_score_band", "ltv_bucket", "rate_bucket", "orig_year")
+# What segments are made from, besides the score.
+SEGMENT_INPUTS = (*SEGMENT_KEYS, "current_upb", "is_delinquent", "credit_score", "orig_interest_rate")
 
 
 class GateFailed(Exception):
@@ -261,7 +263,7 @@ def post_training_check(metrics: DataFrame, kind: str = "origination", cfg: Mode
 
 
 def best_model(metrics: DataFrame) -> DataFrame:
-    """Name and AUC of the best model; the first by name among equals."""
+    """Name and AUC of the best model; the first in position among equals."""
     order = F.struct(F.col("auc_roc"), -F.col("position"))
     return metrics.agg(
         F.max_by("model_name", order).alias("model_name"), F.max("auc_roc").alias("auc_roc")

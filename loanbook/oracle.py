@@ -355,10 +355,10 @@ def _consistent(label: str, count: str, status: str, note: str) -> str:
 _CONSISTENCY = _union([
     _consistent("Current UPB exceeds original amount (performing loans)", _ABOVE,
                 f"CASE WHEN {_ABOVE}/cast(count(*) AS DOUBLE) < 0.01 THEN 'PASS' ELSE 'WARN' END",
-                "May occur for loans with capitalized arrearages after modification"),
+                "The balance can pass the original amount when missed interest is added to it by a modification"),
     _consistent("Duplicate loan IDs", _DUPLICATES, f"CASE WHEN {_DUPLICATES} = 0 THEN 'PASS' ELSE 'FAIL' END", ""),
     _consistent("Missing loan_age", _NO_AGE, f"CASE WHEN {_NO_AGE}/cast(count(*) AS DOUBLE) < 0.01 THEN 'PASS' ELSE 'WARN' END",
-                "Expected for SC-format files which do not populate this field"),
+                "Record-type tapes carry no loan age"),
 ])
 
 
@@ -705,6 +705,17 @@ SQL: dict[str, str] = {
     "rate_by_vintage": f"WITH {LOANS} " + _shares("cast(trunc(orig_year) AS INTEGER)", "rate_bucket", ("orig_year", "rate_bucket"), "orig_year IS NOT NULL"),
     "score_by_status": f"WITH {LOANS} " + _shares("dpd_bucket", "credit_score_band", ("dpd_bucket", "credit_score_band")),
     "top_segments": f"WITH {LOANS} {_SEGMENT_SQL} ORDER BY dlq_rate_pct DESC, credit_score_band, ltv_bucket, rate_bucket, orig_year LIMIT 15",
+    "filtered_vintages": f"WITH {LOANS}, part AS (SELECT * FROM loans WHERE credit_score_band = 'Good (680-719)' AND property_type = 'SF') "
+    f"SELECT cast(trunc(orig_year) AS INTEGER) AS orig_year, count(*) AS loans, {_pct('sum(is_delinquent)', 'count(*)', 2)} AS dlq_rate_pct, "
+    f"{_r('sum(current_upb)/1e9', 2)} AS upb_billions, (SELECT {_pct('sum(is_delinquent)', 'count(*)', 2)} FROM part) AS avg_dlq "
+    "FROM part WHERE orig_year IS NOT NULL GROUP BY orig_year",
+    "filtered_states": f"WITH {LOANS}, part AS (SELECT * FROM loans WHERE orig_year = 1998 AND property_type = 'SF') "
+    f"SELECT property_state, count(*) AS loans, {_pct('sum(is_delinquent)', 'count(*)', 2)} AS dlq_rate_pct, "
+    f"{_r('sum(current_upb)/1e9', 3)} AS upb_billions, (SELECT {_pct('sum(is_delinquent)', 'count(*)', 2)} FROM part) AS avg_dlq "
+    "FROM part WHERE property_state IS NOT NULL GROUP BY property_state",
+    "filtered_cure_rate": f"WITH {LOANS}, months AS (SELECT substring(payment_history, p, 1) AS was, substring(payment_history, p + 1, 1) AS became "
+    "FROM loans, generate_series(37, 47) AS g(p) WHERE length(payment_history) >= 48 AND orig_year = 1998 AND credit_score_band = 'Good (680-719)') "
+    f"SELECT coalesce({_pct(_n("became = '0'"), 'count(*)', 2)}, 0e0) AS cure_rate_30 FROM months WHERE was = '1' AND became BETWEEN '0' AND '9'",
     "filtered_summary": f"WITH {LOANS} {_SUMMARY} WHERE orig_year = 1998 AND credit_score_band = 'Good (680-719)' AND property_type = 'SF'",
     "state_names": f"WITH {TAPE}, coded AS (SELECT {_CODE} AS property_state FROM tape) SELECT property_state, CASE property_state "
     + " ".join(f"WHEN '{k}' THEN {_q(v)}" for k, v in STATE_NAMES.items())

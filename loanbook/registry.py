@@ -429,15 +429,33 @@ def _segments(scored: DataFrame) -> DataFrame:
     return scoring.rank_segments(scored)
 
 
-def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
-    return report.recommendations(
-        testtables.loans(spark, sf_dir), _segments(scored), scoring.lift_table(scored)
-    )
+def recommendations(loans: DataFrame) -> DataFrame:
+    """Two scans of the loans: one for the cells, one for the scores, which are
+    written down with the columns that segments and lift need."""
+    scored = _scored_loans(loans)
+    needed = scored.select("loan_id", "score", "label", *scoring.SEGMENT_INPUTS)
+    written = staged(needed)
+    return report.recommendations(loans, _segments(written), scoring.lift_table(written))
+
+
+def recommendation_text(loans: DataFrame) -> DataFrame:
+    return report.recommendation_text(recommendations(loans))
+
+
+def _part_of_cells(loans: DataFrame, **chosen) -> DataFrame:
+    return portfolio.filter_loans(report.cells(loans), **chosen)
+
+
+def filtered_vintages(loans: DataFrame) -> DataFrame:
+    return report.vintage_cells(_part_of_cells(loans, band="Good (680-719)", property_type="SF"))
+
+
+def filtered_states(loans: DataFrame) -> DataFrame:
+    return report.state_cells(_part_of_cells(loans, year=1998, property_type="SF"))
 
 
-def recommendation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.recommendation_text(recommendations(spark, sf_dir))
+def filtered_cure_rate(loans: DataFrame) -> DataFrame:
+    return report.cure_rate_cells(_part_of_cells(loans, year=1998, band="Good (680-719)"))
 
 
 def band_ltv_heatmap(loans: DataFrame) -> DataFrame:
@@ -559,8 +577,8 @@ QUERIES: dict[str, Query] = {
     "hotspot_severity": _over_loans(report.hotspot_severity),
     "segment_page": _over_scored(lambda scored: report.segment_page(_segments(scored))),
     "segment_concentration": _over_scored(lambda scored: report.segment_concentration(_segments(scored))),
-    "recommendations": recommendations,
-    "recommendation_text": recommendation_text,
+    "recommendations": _over_loans(recommendations),
+    "recommendation_text": _over_loans(recommendation_text),
     "vintage_severity": _over_loans(report.vintage_severity),
     "roll_severity": _over_loans(report.roll_severity),
     "band_ltv_heatmap": _over_loans(band_ltv_heatmap),
@@ -570,5 +588,8 @@ QUERIES: dict[str, Query] = {
     "score_by_status": _over_loans(report.score_by_status),
     "top_segments": _over_loans(report.top_segments),
     "filtered_summary": _over_loans(filtered_summary),
+    "filtered_vintages": _over_loans(filtered_vintages),
+    "filtered_states": _over_loans(filtered_states),
+    "filtered_cure_rate": _over_loans(filtered_cure_rate),
     "state_names": state_names,
 }

@@ -14,8 +14,9 @@ with fresh hash functions, until the chance is below ``MISS`` for each of them.
 group. A link is covered as soon as it is for one of its two classes, so classes that are done leave the passes.
 
 Classes in crowds, that is with more than ``CROWD`` similar ones after them in an order, are not paired one by one but
-take part in the passes, where neighbours are compared unless they are connected already. They leave when they are done,
-or when nothing but crowds is left and two passes in a row have brought no new link.
+take part in the passes, where neighbours are compared unless they are connected already. The passes go on while they
+bring links. What then may still be missing is found exactly: among the classes that are not done, two linked ones share one
+of their rarest shingles (``hidden_pairs``), and those of different components that do are compared on their full sets.
 """
 
 from __future__ import annotations
@@ -41,7 +42,6 @@ CROWD_WIDTH = 256
 CROWD_STEP = 12  # fewer orders for classes that take their sets along; the passes are repeated instead
 UNEQUAL = 1e-7  # chance that a pair at the bound of similarity has fewer equal symbols than are asked for
 MISS = 1e-6  # chance that a link is missed, from which a class goes into no further pass
-EXACT = 128  # classes that are compared each with each instead of by a further pass
 CHUNK = 8192  # shingles hashed at once
 
 
@@ -128,11 +128,12 @@ def _symbols(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, SYMBOLS)
 
 
-def _near(keys: np.ndarray, trees: np.ndarray, sizes: np.ndarray, by: int, like: Likeness) -> np.ndarray:
-    """Places i for which the rows i and i + by may be linked: one order, a common first symbol, enough equal symbols
-    and sizes that allow it."""
+def _near(keys: np.ndarray, trees: np.ndarray, sizes: np.ndarray, by: int, like: Likeness, roots: np.ndarray | None = None) -> np.ndarray:
+    """Places i for which the rows i and i + by may be linked: one order, a common first symbol, enough equal symbols,
+    sizes that allow it and, where ``roots`` are given, different ones."""
     small, big = np.minimum(sizes[:-by], sizes[by:]), np.maximum(sizes[:-by], sizes[by:])
-    open_ = np.flatnonzero((trees[:-by] == trees[by:]) & (keys[:-by, 0] == keys[by:, 0]) & (like.whole * small >= like.part * big))
+    may = (trees[:-by] == trees[by:]) & (keys[:-by, 0] == keys[by:, 0]) & (like.whole * small >= like.part * big)
+    open_ = np.flatnonzero(may if roots is None else may & (roots[:-by] != roots[by:]))
     equal = np.empty(len(open_), np.int64)
     for at in range(0, len(open_), 65_536):
         i = open_[at : at + 65_536]
@@ -253,27 +254,36 @@ def crowd_links(classes: DataFrame, like: Likeness) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, trees, names, sets = np.empty((0, SYMBOLS), ">u2"), np.empty(0, np.int32), [], []
         roots: list[bytes] = []
-        parent: dict[bytes, bytes] = {}
+        number: dict[bytes, int] = {}  # of each root
+        parent: list[int] = []
         depths = Depths(CROWD_WIDTH)
 
-        def top(x: bytes) -> bytes:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
+        def top(x: int) -> int:
+            while (up := parent[x]) != x:
+                parent[x] = parent[up]
                 x = up
             return x
 
+        def numbered(root: bytes) -> int:
+            if root not in number:
+                number[root] = len(parent)
+                parent.append(len(parent))
+            return top(number[root])
+
         for batch in batches:
             keys = np.concatenate([keys, _symbols(batch.column("key"))])
             trees = np.concatenate([trees, batch.column("tree").to_numpy()])
             names, roots = [*names, *batch.column("set_id").to_pylist()], [*roots, *batch.column("root").to_pylist()]
             sets = [*sets, *(np.asarray(s.values) for s in batch.column("shingles"))]
             sizes = np.array([len(s) for s in sets], np.int64)
+            codes = np.array([numbered(r) for r in roots], np.int64)
             rows = []
             for by in range(1, min(CROWD_WIDTH, len(names) - 1) + 1):
-                for i in _near(keys, trees, sizes, by, like).tolist():
-                    x, y = top(roots[i]), top(roots[i + by])
+                for i in _near(keys, trees, sizes, by, like, codes).tolist():
+                    x, y = codes[i], codes[i + by]
                     if x != y and _linked(sets[i], sets[i + by], like):
-                        parent[max(x, y)] = min(x, y)
+                        parent[y] = x
+                        codes[codes == y] = x
                         rows.append((roots[i], roots[i + by]))
             if rows:
                 yield _found(rows)
@@ -284,6 +294,24 @@ def crowd_links(classes: DataFrame, like: Likeness) -> DataFrame:
     return _orders(classes, CROWD_STEP).mapInArrow(run, FOUND_TYPE).distinct()
 
 
+def hidden_pairs(classes: DataFrame, like: Likeness) -> DataFrame:
+    """All pairs (a, b) of classes with different roots that may be linked; ``classes`` has (set_id, shingles, root).
+
+    Linked sets share at least part / whole of the larger one's shingles. So in one common order each set's first ones,
+    as many as may be missing and one more, hold a common one; the order is by rarity, which leaves what many share for the end.
+    Shingles of one root only are left out before the join."""
+    held = staged(classes.select("set_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "near-held")
+    rarity = staged(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), (F.min("root") != F.max("root")).alias("mixed")), "near-rarity")
+    first = F.col("n") - F.ceil(F.col("n") * like.part / like.whole - 1e-9).cast("int") + 1
+    ranked = held.join(rarity, "shingle").groupBy("set_id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle", "mixed"))).alias("by_rarity"))
+    rare = ranked.select("set_id", "root", "n", F.explode(F.slice("by_rarity", F.lit(1), first)).alias("r")).filter("r.mixed")
+    # Stored, so that a shingle of very many sets can be split in the join.
+    rare = staged(rare.select("set_id", "root", "n", "r.shingle"), "near-rare")
+    one, two = (rare.select("shingle", F.col("set_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    small, big = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    return one.join(two, "shingle").filter((F.col("root_a") < F.col("root_b")) & (small * like.whole >= big * like.part)).select("a", "b").distinct()
+
+
 def set_name(shingles: np.ndarray) -> bytes | None:
     from xxhash import xxh3_128_digest
 
@@ -357,27 +385,23 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
 
     links = staged(confirmed_pairs(pairs, sets, like), "near-links")
     roots = staged(components(links, "a", "b"), "near-roots")
-    quiet, seed = 0, 0
-    while True:
-        n, others = left.agg(F.count(F.lit(1)), F.count_if(~F.col("crowd"))).first()
-        if n == 0 or (others == 0 and quiet >= 2):
-            break
-        seed += 1
+    seed, more = 0, None
+    while not left.isEmpty():
         theirs = sets.join(left.select("set_id"), "set_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        if n <= EXACT:
-            each = theirs.select(F.col("set_id").alias("a")).crossJoin(theirs.select(F.col("set_id").alias("b"))).filter("a < b")
-            met = confirmed_pairs(each, sets, like)
-            more = met.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a", "left").join(
-                roots.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-            more, left = staged(more.filter("a != b").distinct(), "near-links"), left.limit(0)
+        if more is not None and more.isEmpty():
+            # Every link that is still missing is one of two classes that are not done, or covered already.
+            met = confirmed_pairs(hidden_pairs(theirs, like), sets, like)
+            top = theirs.select("set_id", "root")
+            more = met.join(top.toDF("a", "root_a"), "a").join(top.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+            more, left = staged(more.distinct(), "near-links"), left.limit(0)
         else:
+            seed += 1
             found = staged(crowd_links(_resigned(theirs, seed), like), "near-links")
             more = found.filter("b IS NOT NULL").select("a", "b")
             now = chances(left, found, like, CROWD_STEP).withColumnRenamed("missed", "_now")
             left = staged(left.join(now, "set_id").select("set_id", (F.col("missed") + F.col("_now")).alias("missed"), "crowd").filter(
                 F.col("missed") > enough), "near-left")
-        quiet = quiet + 1 if more.isEmpty() else 0
-        if quiet == 0:
+        if not more.isEmpty():
             roots = staged(_moved(roots, components(more, "a", "b")), "near-roots")
 
     names = classes.select("set_id", "first").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("root", "set_id"))

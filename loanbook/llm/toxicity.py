@@ -4,12 +4,13 @@ A text is the set of its terms (runs of letters and digits, lower case, and thei
 score is logistic in a bias, one weight per cell and the inner products of the cells' factor vectors over all pairs,
 so that two terms can mean more together than apart. Terms are cut and hashed inside Spark; the machine is fitted on
 a bounded sample of labelled rows (``FitSettings.rows``, chosen by a hash of the id) and every text is scored where
-it lies. Only the fitted arrays, whose size is set by ``cells`` and ``factors``, are sent to the executors.
+it lies. Only the fitted cells, at most as many as the sample's terms, are sent to the executors, and only the cells of a
+text go to Python; the text and the other columns stay in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +38,24 @@ class FitSettings:
 
 @dataclass
 class Machine:
+    """``cells`` are the fitted cells, ascending, of ``size`` ones that terms are hashed into; all others weigh nothing."""
+
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    cells: np.ndarray
+    size: int
+
+    def placed(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the fitted ones among the texts' cells, and the new offsets."""
+        if not len(self.cells):
+            return np.empty(0, np.int64), np.zeros_like(offsets)
+        at = np.minimum(np.searchsorted(self.cells, flat), len(self.cells) - 1)
+        known = self.cells[at] == flat
+        return at[known], np.concatenate([[0], np.cumsum(known)])[offsets]
 
     def margins(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Margins of several texts; their cells lie one after the other in ``flat``."""
+        """Margins of several texts; the places of their cells lie one after the other in ``flat``."""
         linear = _sums(self.weights[flat], offsets)
         vectors = self.factors[flat]
         total = _sums(vectors, offsets)
@@ -64,18 +77,20 @@ def with_term_cells(df: DataFrame, text: str, cells: int, into: str = "_cells")
 
     Terms are the words, their stems (the first ``STEM`` letters of longer words), and the stems that two or four
     different words share: a word that is new keeps its stem, and a stem that comes again says more."""
-    stem = F.transform(F.filter("_terms", lambda t: F.length(t) > STEM), lambda t: F.substring(t, 1, STEM))
+    terms, stems, twice, often = (f"_{n}_{uuid.uuid4().hex}" for n in ("terms", "stems", "twice", "often"))
+    stem = F.transform(F.filter(terms, lambda t: F.length(t) > STEM), lambda t: F.substring(t, 1, STEM))
     hashed = lambda kind: lambda t: F.pmod(F.xxhash64(F.lit(kind), t), F.lit(cells)).cast("int")
     # In sorted order a stem of n words equals the one n - 1 places on.
-    shared = lambda n: F.array_compact(F.zip_with("_stems", F.slice("_stems", n, F.size("_stems")), lambda a, b: F.when(a == b, a)))
+    shared = lambda n: F.array_compact(F.zip_with(stems, F.slice(stems, n, F.size(stems)), lambda a, b: F.when(a == b, a)))
     cut = (
-        df.withColumn("_terms", F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")), ""))
-        .withColumn("_stems", F.array_sort(stem))
-        .withColumn("_twice", shared(2))
-        .withColumn("_often", shared(4))
+        df.withColumn(terms, F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")), ""))
+        .withColumn(stems, F.array_sort(stem))
+        .withColumn(twice, shared(2))
+        .withColumn(often, shared(4))
     )
-    found = F.concat(*[F.transform(c, hashed(c)) for c in ("_terms", "_stems", "_twice", "_often")])
-    return cut.withColumn(into, F.array_sort(F.array_distinct(found))).drop("_terms", "_stems", "_twice", "_often")
+    kinds = {terms: "_terms", stems: "_stems", twice: "_twice", often: "_often"}  # the names are hashed along
+    found = F.concat(*[F.transform(c, hashed(kind)) for c, kind in kinds.items()])
+    return cut.withColumn(into, F.array_sort(F.array_distinct(found))).drop(*kinds)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", settings: FitSettings = FitSettings()) -> Machine:
@@ -90,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key:
     sample = texts.groupBy(key, "_label").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
     rows = with_term_cells(sample, "_text", settings.cells).select(key, "_label", "_cells").toArrow().sort_by(key)
     if rows.num_rows == 0:
-        return Machine(0.0, np.zeros(settings.cells), np.zeros((settings.cells, settings.factors)))
+        return Machine(0.0, np.empty(0), np.empty((0, settings.factors)), np.empty(0, np.int32), settings.cells)
     labels = rows.column("_label").to_numpy().astype(np.float64)
     cells = rows.column("_cells").combine_chunks()
     offsets = cells.offsets.to_numpy().astype(np.int64)
@@ -116,7 +131,7 @@ def descend(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, settings:
     cells, place, offsets = screened(flat, offsets, labels, settings)
     rng = np.random.default_rng(settings.seed)
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    own = Machine(float(np.log(rate / (1 - rate))), np.zeros(len(cells)), rng.normal(0, 0.01, (len(cells), settings.factors)))
+    own = Machine(float(np.log(rate / (1 - rate))), np.zeros(len(cells)), rng.normal(0, 0.01, (len(cells), settings.factors)), cells, settings.cells)
     parameters = np.column_stack([own.weights, own.factors])
     mean, square = np.zeros_like(parameters), np.zeros_like(parameters)
     speed = np.array([1.0] + [0.3] * settings.factors) * settings.rate
@@ -128,7 +143,7 @@ def descend(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, settings:
             starts = np.concatenate([[0], np.cumsum(lengths)])
             row = np.repeat(np.arange(len(part)), lengths)
             at = place[np.repeat(offsets[part] - starts[:-1], lengths) + np.arange(starts[-1])]
-            own = Machine(own.bias, parameters[:, 0], parameters[:, 1:])
+            own = Machine(own.bias, parameters[:, 0], parameters[:, 1:], cells, settings.cells)
             error = (own.scores(at, starts) - labels[part]) / len(part)
             vectors = own.factors[at]
             each = np.column_stack([error[row], error[row][:, None] * (_sums(vectors, starts)[row] - vectors)])
@@ -138,31 +153,25 @@ def descend(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, settings:
             square = 0.999 * square + 0.001 * gradient**2
             parameters -= speed * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-5)
             own.bias -= settings.rate * error.sum()
-    machine = Machine(own.bias, np.zeros(settings.cells), np.zeros((settings.cells, settings.factors)))
-    machine.weights[cells], machine.factors[cells] = parameters[:, 0], parameters[:, 1:]
-    return machine
+    return Machine(own.bias, parameters[:, 0], parameters[:, 1:], cells, settings.cells)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
-    """Add the score (0 to 1) of the whole text; other columns pass through.
+    """Add the score (0 to 1) of the whole text; other columns pass through, whatever their names.
 
     A null or empty text has no terms and gets the score of the bias. Rows are independent: repeats, ties and empty
     tables need nothing, and a column already named like ``into`` is replaced."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32)))
-    cells = len(machine.weights)
-    given = docs.drop(into)
-    schema = given.withColumn(into, F.lit(None).cast("double")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Machine(*sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                piece = batch.slice(at, 250)
-                column = piece.column("_cells")
-                offsets = column.offsets.to_numpy().astype(np.int64)
-                found = own.scores(column.values.to_numpy()[offsets[0]:offsets[-1]], offsets - offsets[0])
-                kept = [(n, c) for n, c in zip(piece.schema.names, piece.columns, strict=True) if n != "_cells"]
-                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(found, pa.float64())], [n for n, _ in kept] + [into])
-
-    return with_term_cells(given, text, cells).mapInArrow(run, schema)
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @F.arrow_udf("double")
+    def scores(cells: pa.Array) -> pa.Array:
+        own, found = sent.value, []
+        for at in range(0, len(cells), 250):
+            piece = cells.slice(at, 250)
+            offsets = piece.offsets.to_numpy().astype(np.int64)
+            flat, starts = own.placed(piece.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+            found.append(own.scores(flat, starts))
+        return pa.array(np.concatenate([np.empty(0), *found]), pa.float64())
+
+    cells = f"_cells_{uuid.uuid4().hex}"
+    return with_term_cells(docs.drop(into), text, machine.size, cells).withColumn(into, scores(cells)).drop(cells)

@@ -287,6 +287,17 @@ def test_links_that_boilerplate_hides_stay_open(spark):
     assert settled.filter(F.col("missed") <= math.log(lsh_forest.MISS)).count() > 250
 
 
+def test_hidden_pairs_lose_no_link(spark):
+    rng = random.Random(3)
+    rows = crowd(rng, 150)
+    sets = [(i.to_bytes(4), sorted(s.astype(np.int64).tolist()), (i % 7).to_bytes(1)) for i, (_, t) in enumerate(rows) if len(s := lsh_forest.shingle_set(t, 3))]
+    like = lsh_forest.Likeness()
+    found = lsh_forest.hidden_pairs(spark.createDataFrame(sets, "set_id binary, shingles array<long>, root binary"), like).collect()
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in found}
+    linked = {frozenset((a, b)) for a, x, r in sets for b, y, q in sets if r != q and lsh_forest._linked(np.array(x), np.array(y), like)}
+    assert linked and linked <= found
+
+
 def test_depths_tell_what_a_window_holds():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 3, (300, lsh_forest.SYMBOLS)).astype(">u2")
@@ -372,7 +383,7 @@ def test_machine_learns_a_pair_that_single_terms_do_not_show():
     flat = np.array([c for r in rows for c in r])
     labels = (a & b).astype(float)
     machine = toxicity.descend(flat, offsets, labels, toxicity.FitSettings(cells=4, rounds=40))
-    assert ((machine.scores(flat, offsets) >= 0.5) == labels.astype(bool)).mean() > 0.99
+    assert ((machine.scores(*machine.placed(flat, offsets)) >= 0.5) == labels.astype(bool)).mean() > 0.99
 
 
 def test_scores_catch_held_out_insults(spark):
@@ -401,6 +412,15 @@ def test_no_labels_give_one_half(spark):
     assert toxicity.score(documents(spark, []), machine).count() == 0
 
 
+def test_scores_keep_columns_of_any_name(spark):
+    names = ["_cells", "_terms", "_stems", "_twice", "_often", "score"]
+    docs = documents(spark, EDGES).select("*", *[F.lit(n).alias(n) for n in names])
+    machine = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), "toxic")
+    found = toxicity.score(docs, machine)
+    assert found.columns == docs.columns
+    assert all([r[n] for n in names[:-1]] == names[:-1] and 0 <= r.score <= 1 for r in found.collect())
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 def plain_targets(sizes):

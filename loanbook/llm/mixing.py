@@ -74,15 +74,17 @@ def draw_slots(sources: DataFrame, settings: MixSettings = MixSettings()) -> Dat
         for frame in frames:
             for shard in frame["id"]:
                 drawn = np.random.default_rng([seed, int(shard)]).multinomial(min(size, total - int(shard) * size), wanted / total)
-                yield pd.DataFrame({"shard": shard, "source_no": numbers, "slots": drawn.astype(np.int64)})
+                some = drawn > 0
+                yield pd.DataFrame({"shard": shard, "source_no": numbers[some], "slots": drawn[some].astype(np.int64)})
 
     drawn = sources.sparkSession.range(shards).mapInPandas(run, "shard long, source_no long, slots long")
     drawn = drawn.join(sources.select("source_no", "slots_due"), "source_no")
     first = F.sum("slots").over(Window.partitionBy("source_no").orderBy("shard")) - F.col("slots")
     settled = drawn.withColumn("first_slot", first).select(
         "shard", "source_no", "first_slot", F.least(F.col("slots"), F.col("slots_due") - F.col("first_slot")).alias("slots"))
-    missing = drawn.groupBy("source_no").agg(F.sum("slots").alias("first_slot"), F.first("slots_due").alias("slots_due"))
-    missing = missing.select(F.lit(shards).cast("long").alias("shard"), "source_no", "first_slot", (F.col("slots_due") - F.col("first_slot")).alias("slots"))
+    drew = drawn.groupBy("source_no").agg(F.sum("slots").alias("drew"))
+    drew = sources.select("source_no", "slots_due").filter("slots_due > 0").join(drew, "source_no", "left").withColumn("first_slot", F.coalesce("drew", F.lit(0)))
+    missing = drew.select(F.lit(shards).cast("long").alias("shard"), "source_no", "first_slot", (F.col("slots_due") - F.col("first_slot")).alias("slots"))
     return settled.unionByName(missing).filter("slots > 0")
 
 
@@ -153,7 +155,9 @@ def fill(rows: DataFrame, settings: MixSettings = MixSettings()) -> tuple[DataFr
     sources = staged(sources, "mix-sources")
     counts = sources.select("source_no", "blocks").filter("blocks > 0")
 
-    drawn = draw_slots(sources, settings).join(counts, "source_no").repartition("shard", "source_no")
+    drawn = draw_slots(sources, settings).join(counts, "source_no")
+    # By number, so that the few draws are not put together in one task before their many slots are unfolded.
+    drawn = drawn.repartition(partitions(rows.sparkSession), "shard", "source_no")
     number = drawn.select("shard", "source_no", "blocks", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("slots") - 1)).alias("slot"))
     number = number.withColumn("round", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
     key = F.xxhash64("source_no", "round", F.lit(settings.seed))

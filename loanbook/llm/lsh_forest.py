@@ -15,7 +15,7 @@ group. A link is covered as soon as it is for one of its two classes, so classes
 
 Classes in crowds, that is with more than ``CROWD`` similar ones after them in an order, are not paired one by one but
 take part in the passes, where neighbours are compared unless they are connected already. The passes go on while they
-bring links. What then may still be missing is found exactly: among the classes that are not done, two linked ones share one
+bring links or settle classes. What then may still be missing is found exactly: among the classes that are not done, two linked ones share one
 of their rarest shingles (``hidden_pairs``), and those of different components that do are compared on their full sets.
 """
 
@@ -42,6 +42,7 @@ CROWD_WIDTH = 256
 CROWD_STEP = 12  # fewer orders for classes that take their sets along; the passes are repeated instead
 UNEQUAL = 1e-7  # chance that a pair at the bound of similarity has fewer equal symbols than are asked for
 MISS = 1e-6  # chance that a link is missed, from which a class goes into no further pass
+STILL = 0.8  # share of classes left, from which a pass without new links is the last one
 CHUNK = 8192  # shingles hashed at once
 
 
@@ -385,10 +386,10 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
 
     links = staged(confirmed_pairs(pairs, sets, like), "near-links")
     roots = staged(components(links, "a", "b"), "near-roots")
-    seed, more = 0, None
-    while not left.isEmpty():
+    seed, settled = 0, False
+    while n := left.count():
         theirs = sets.join(left.select("set_id"), "set_id").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        if more is not None and more.isEmpty():
+        if settled:
             # Every link that is still missing is one of two classes that are not done, or covered already.
             met = confirmed_pairs(hidden_pairs(theirs, like), sets, like)
             top = theirs.select("set_id", "root")
@@ -401,6 +402,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
             now = chances(left, found, like, CROWD_STEP).withColumnRenamed("missed", "_now")
             left = staged(left.join(now, "set_id").select("set_id", (F.col("missed") + F.col("_now")).alias("missed"), "crowd").filter(
                 F.col("missed") > enough), "near-left")
+            settled = more.isEmpty() and left.count() > STILL * n
         if not more.isEmpty():
             roots = staged(_moved(roots, components(more, "a", "b")), "near-roots")
 

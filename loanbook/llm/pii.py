@@ -176,20 +176,26 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Boo
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: BootSettings = BootSettings()) -> DataFrame:
     """The rows with every span replaced by its kind in brackets; where spans overlap, the first one counts.
 
-    A null text stays null; n_chars, if there is such a column, is counted anew. Other columns pass through."""
+    A null text stays null; n_chars, if there is such a column, is counted anew. Other columns pass through, whatever their
+    names."""
     added = added_spans(found := occurrences(docs, key, text, settings), patterns(found, settings))
     plain = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"_plain": plain}).select("*", *_row_key(key, "_plain"))
+    # The row travels as one struct, so that none of its names can clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), plain.alias("_plain"))
+    keyed = keyed.withColumns({"_text1": F.xxhash64("_plain"), "_text2": F.xxhash64(F.lit(1), "_plain")})
     base = F.transform(base_spans(F.col("_plain")), lambda s: F.struct(
         s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    joined = keyed.join(added, _same(), "left").select(*docs.columns, "_plain", "added").withColumn("_base", base)
+    joined = keyed.join(added, _same(), "left").select("_row", "_plain", "added").withColumn("_base", base)
     spans = F.array_sort(F.concat("_base", F.coalesce("added", F.array_except("_base", "_base"))))
     walked = F.aggregate(
         spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(
             acc["out"], F.substring("_plain", acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(acc),
         lambda acc: F.concat(acc["out"], F.substring("_plain", acc["at"] + 1, F.length("_plain"))))
-    result = joined.withColumn(text, F.when(F.col(text).isNotNull() & (F.size(spans) > 0), walked).otherwise(F.col(text)))
+    given = {c: F.col("_row").getField(c) for c in docs.columns}
+    new = F.when(given[text].isNotNull() & (F.size(spans) > 0), walked).otherwise(given[text])
+    result = joined.select("_row", new.alias("_new"), (F.size(spans) > 0).alias("_changed"))
+    out = {**given, text: F.col("_new")}
     if "n_chars" in docs.columns:
-        result = result.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return result.select(docs.columns)
+        out["n_chars"] = F.when(F.col("_changed"), F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(given["n_chars"])
+    return result.select(*[value.alias(name) for name, value in out.items()])

@@ -28,6 +28,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
+BLOCK = 1000  # letters of a label that are unfolded together
+
 
 @dataclass(frozen=True)
 class UrlSettings:
@@ -88,20 +90,26 @@ def split_words(label: str, pieces: list[tuple[int, int, int]], total: float, lo
 
 
 def segmented(labels: DataFrame, counts: DataFrame, settings: UrlSettings = UrlSettings()) -> DataFrame:
-    """(label, words) for distinct labels."""
+    """(label, words) for distinct labels.
+
+    Labels are cut into blocks before their pieces are unfolded, and pieces carry a number instead of the label, so
+    memory and time stay in proportion to a label's length."""
     longest = settings.longest_word
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    starts = labels.select("label", F.explode(F.sequence(F.lit(0), F.length("label") - 1)).alias("start"))
-    most = F.least(F.lit(longest), F.length("label") - F.col("start"))
-    pieces = starts.select("label", "start", F.explode(F.sequence(F.lit(1), most)).alias("len"))
-    pieces = pieces.withColumn("word", F.substring("label", F.col("start") + 1, F.col("len")))
-    met = pieces.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("start", "len", "n")).alias("pieces"))
+    labels = staged(labels.select("label", F.monotonically_increasing_id().alias("label_no")), "url-labels")
+    whole = labels.select("label_no", "label", F.explode(F.sequence(F.lit(0), F.length("label") - 1, F.lit(BLOCK))).alias("at"))
+    blocks = whole.select("label_no", "at", F.substring("label", F.col("at") + 1, F.lit(BLOCK + longest - 1)).alias("block"))
+    starts = blocks.select("label_no", "at", "block", F.explode(F.sequence(F.lit(0), F.least(F.length("block"), F.lit(BLOCK)) - 1)).alias("in"))
+    starts = starts.select("label_no", (F.col("at") + F.col("in")).alias("start"), F.substring("block", F.col("in") + 1, F.lit(longest)).alias("run"))
+    pieces = starts.select("label_no", "start", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("len"))
+    pieces = pieces.select("label_no", "start", "len", F.substring("run", F.lit(1), F.col("len")).alias("word"))
+    met = pieces.join(counts, "word").groupBy("label_no").agg(F.collect_list(F.struct("start", "len", "n")).alias("pieces"))
 
     def run(label: pd.Series, pieces: pd.Series) -> pd.Series:
         return pd.Series([split_words(a, [(p["start"], p["len"], p["n"]) for p in ([] if b is None else b)], total, longest) for a, b in zip(label, pieces, strict=True)])
 
     run.__annotations__ = {"label": pd.Series, "pieces": pd.Series, "return": pd.Series}
-    return labels.join(met, "label", "left").select("label", F.pandas_udf(run, "array<string>")("label", "pieces").alias("words"))
+    return labels.join(met, "label_no", "left").select("label", F.pandas_udf(run, "array<string>")("label", "pieces").alias("words"))
 
 
 def judged(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", settings: UrlSettings = UrlSettings()) -> DataFrame:
@@ -113,7 +121,7 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     urls = parsed(pages, key, url, settings)
     distinct = staged(urls.groupBy("host", "path").agg(F.first("ruled").alias("ruled"), F.count(F.lit(1)).alias("pages")), "urls")
     hosts = distinct.select("host").distinct().withColumn("parts", host_parts(F.col("host")))
-    labels = staged(hosts.select(F.explode("parts").alias("label")).distinct(), "url-labels")
+    labels = hosts.select(F.explode("parts").alias("label")).distinct()
     words = staged(segmented(labels, word_counts(pages, html, settings), settings), "url-words")
     by_host = hosts.select("host", F.posexplode("parts").alias("at", "label")).join(words, "label").groupBy("host").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda p: p["words"])).alias("words"))

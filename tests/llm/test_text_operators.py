@@ -100,6 +100,16 @@ def test_personal_data_query(spark, texts):
     assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows) > 0
 
 
+def test_masked_rows_keep_columns_of_any_name(spark):
+    names = ["added", "_base", "_plain", "_key", "_of", "_row", "_new", "_changed", "_text1"]
+    docs = documents(spark, [(1, "write to a.b@c.org now"), (None, "none"), (2, None), (3, "")])
+    found = pii.mask(docs.select("*", *[F.lit(n).alias(n) for n in names]))
+    assert found.columns == [*docs.columns, *names]
+    rows = found.collect()
+    assert all([r[n] for n in names] == names for r in rows)
+    assert sorted((r.text for r in rows), key=str) == ["", None, "none", "write to [EMAIL] now"]
+
+
 def test_personal_data_runs_no_python(spark):
     plan = queries.op1_pii(spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -369,6 +379,14 @@ def test_segmentation_splits_names(spark):
     assert (found[1], found[2]) == ("block", "allow")
 
 
+def test_very_long_and_missing_hosts(spark):
+    counts = spark.createDataFrame([("garden", 9), ("shop", 9)], "word string, n long")
+    label = "gardenshop" * 10000
+    found = url_filter.segmented(spark.createDataFrame([(label,), ("shop",)], "label string"), counts).collect()
+    assert {r.label: r.words for r in found} == {label: ["garden", "shop"] * 10000, "shop": ["shop"]}
+    assert url_filter.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_url_query_has_every_page(spark):
     assert queries.op5_url_filter(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/pages.parquet").count()
 

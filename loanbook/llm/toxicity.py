@@ -4,13 +4,13 @@ A text is the set of its terms (runs of letters and digits, lower case, and thei
 score is logistic in a bias, one weight per cell and the inner products of the cells' factor vectors over all pairs,
 so that two terms can mean more together than apart. Terms are cut and hashed inside Spark; the machine is fitted on
 a bounded sample of labelled rows (``FitSettings.rows``, chosen by a hash of the id) and every text is scored where
-it lies. Only the fitted cells, at most as many as the sample's terms, are sent to the executors, and only the cells of a
-text go to Python; the text and the other columns stay in the JVM.
+it lies. Only the fitted cells, at most as many as the sample's terms, are sent to the executors.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,16 +162,18 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", into: str = "sc
     A null or empty text has no terms and gets the score of the bias. Rows are independent: repeats, ties and empty
     tables need nothing, and a column already named like ``into`` is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-
-    @F.arrow_udf("double")
-    def scores(cells: pa.Array) -> pa.Array:
-        own, found = sent.value, []
-        for at in range(0, len(cells), 250):
-            piece = cells.slice(at, 250)
-            offsets = piece.offsets.to_numpy().astype(np.int64)
-            flat, starts = own.placed(piece.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
-            found.append(own.scores(flat, starts))
-        return pa.array(np.concatenate([np.empty(0), *found]), pa.float64())
-
-    cells = f"_cells_{uuid.uuid4().hex}"
-    return with_term_cells(docs.drop(into), text, machine.size, cells).withColumn(into, scores(cells)).drop(cells)
+    given, own_cells = docs.drop(into), f"_cells_{uuid.uuid4().hex}"
+    schema = given.withColumn(into, F.lit(None).cast("double")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 250):
+                piece = batch.slice(at, 250)
+                column = piece.column(own_cells)
+                offsets = column.offsets.to_numpy().astype(np.int64)
+                flat, starts = own.placed(column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+                kept = [(n, c) for n, c in zip(piece.schema.names, piece.columns, strict=True) if n != own_cells]
+                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(own.scores(flat, starts), pa.float64())], [n for n, _ in kept] + [into])
+
+    return with_term_cells(given, text, machine.size, own_cells).mapInArrow(run, schema)

@@ -10,7 +10,6 @@ it lies. Only the fitted cells, at most as many as the sample's terms, are sent
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,20 +76,17 @@ def with_term_cells(df: DataFrame, text: str, cells: int, into: str = "_cells")
 
     Terms are the words, their stems (the first ``STEM`` letters of longer words), and the stems that two or four
     different words share: a word that is new keeps its stem, and a stem that comes again says more."""
-    terms, stems, twice, often = (f"_{n}_{uuid.uuid4().hex}" for n in ("terms", "stems", "twice", "often"))
-    stem = F.transform(F.filter(terms, lambda t: F.length(t) > STEM), lambda t: F.substring(t, 1, STEM))
-    hashed = lambda kind: lambda t: F.pmod(F.xxhash64(F.lit(kind), t), F.lit(cells)).cast("int")
+    # Each part is bound once by a lambda, so that a text is cut once wherever the plan evaluates the expression.
+    bound = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    hashed = lambda kind, parts: F.transform(parts, lambda t: F.pmod(F.xxhash64(F.lit(kind), t), F.lit(cells)).cast("int"))
+    stems = lambda terms: F.array_sort(F.transform(F.filter(terms, lambda t: F.length(t) > STEM), lambda t: F.substring(t, 1, STEM)))
     # In sorted order a stem of n words equals the one n - 1 places on.
-    shared = lambda n: F.array_compact(F.zip_with(stems, F.slice(stems, n, F.size(stems)), lambda a, b: F.when(a == b, a)))
-    cut = (
-        df.withColumn(terms, F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")), ""))
-        .withColumn(stems, F.array_sort(stem))
-        .withColumn(twice, shared(2))
-        .withColumn(often, shared(4))
-    )
-    kinds = {terms: "_terms", stems: "_stems", twice: "_twice", often: "_often"}  # the names are hashed along
-    found = F.concat(*[F.transform(c, hashed(kind)) for c, kind in kinds.items()])
-    return cut.withColumn(into, F.array_sort(F.array_distinct(found))).drop(*kinds)
+    shared = lambda of, n: F.array_compact(F.zip_with(of, F.slice(of, n, F.size(of)), lambda a, b: F.when(a == b, a)))
+    found = lambda terms: bound(stems(terms), lambda of: F.concat(
+        hashed("_terms", terms), hashed("_stems", of), hashed("_twice", shared(of, 2)), hashed("_often", shared(of, 4))))
+    terms = F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")), "")
+    # A generator of one row: its result is a column that no later projection folds into a function's arguments.
+    return df.drop(into).select("*", F.explode(F.array(F.array_sort(F.array_distinct(bound(terms, found))))).alias(into))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", settings: FitSettings = FitSettings()) -> Machine:
@@ -162,18 +158,17 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", into: str = "sc
     A null or empty text has no terms and gets the score of the bias. Rows are independent: repeats, ties and empty
     tables need nothing, and a column already named like ``into`` is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    given, own_cells = docs.drop(into), f"_cells_{uuid.uuid4().hex}"
-    schema = given.withColumn(into, F.lit(None).cast("double")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                piece = batch.slice(at, 250)
-                column = piece.column(own_cells)
-                offsets = column.offsets.to_numpy().astype(np.int64)
-                flat, starts = own.placed(column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
-                kept = [(n, c) for n, c in zip(piece.schema.names, piece.columns, strict=True) if n != own_cells]
-                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(own.scores(flat, starts), pa.float64())], [n for n, _ in kept] + [into])
-
-    return with_term_cells(given, text, machine.size, own_cells).mapInArrow(run, schema)
+    own_cells = f"_cells_{uuid.uuid4().hex}"
+
+    @F.arrow_udf("double")
+    def of_cells(column: pa.Array) -> pa.Array:
+        own, scores = sent.value, []
+        for at in range(0, len(column), 250):
+            piece = column.slice(at, 250)
+            offsets = piece.offsets.to_numpy().astype(np.int64)
+            flat, starts = own.placed(piece.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
+            scores.append(own.scores(flat, starts))
+        return pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
+
+    # Only cells go to Python; the other columns stay where they are.
+    return with_term_cells(docs.drop(into), text, machine.size, own_cells).withColumn(into, of_cells(own_cells)).drop(own_cells)

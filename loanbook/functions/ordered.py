@@ -15,8 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``,
@@ -67,23 +65,8 @@ def running_totals(df: DataFrame, order: Sequence[Column], totals: dict[str, Col
     )
 
 
-class _Search:
-    """One order statistic being narrowed down: the ``offset``-th of ``rows``
-    values strictly between ``low`` and ``high``."""
-
-    def __init__(self, column: str, rank: int, rows: int):
-        self.column, self.rank = column, rank
-        self.low: float | None = None
-        self.high: float | None = None
-        self.rows, self.offset = rows, rank
-
-    def value(self) -> Column:
-        c = F.col(f"`{self.column}`").cast("double")
-        if self.low is not None:
-            c = F.when(F.col(f"`{self.column}`") > self.low, c)
-        if self.high is not None:
-            c = F.when(F.col(f"`{self.column}`") < self.high, c)
-        return c
+STEPS = 64  # cells of the first pass per unit of the signed logarithm; at most 91,000 a column
+CELLS = 4096  # cells of a later pass per bracket
 
 
 def exact_quantiles(
@@ -91,24 +74,33 @@ def exact_quantiles(
 ) -> dict[str, dict[float, float | None]]:
     """Linearly interpolated quantiles of several columns, ignoring NULL.
 
-    A mergeable sketch brackets each wanted rank and one pass counts around
-    the bracket; what is left inside is sketched again, until the value itself
-    is met. Every pass is one global aggregate for all columns with buffers of
-    bounded size; nothing is shuffled but the partial aggregates.
+    A selection by digits: one grouped pass over all columns counts values in
+    cells that keep their order, with the smallest and largest value of each.
+    The cell that holds a wanted rank is cut into cells again, until it holds a
+    single value. Cells of the first pass are steps of a signed logarithm, so
+    two or three passes do for most columns whatever their range; what is
+    shuffled and collected is bounded by the number of cells, not by rows.
+    Infinities are ordinary values; NaN counts as the largest one.
     """
     columns = list(dict.fromkeys(columns))
-    counted = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counted[f"n{i}"] for i, c in enumerate(columns)}
-
+    if not columns:
+        return {}
+    cells = _count_cells(df, [(c, None) for c in columns])
     found: dict[tuple[str, int], float] = {}
-    pending: list[_Search] = []
-    for column, size in sizes.items():
+    pending: list[tuple[str, int, int, tuple[float, float]]] = []
+    sizes = {}
+    for column, counted in zip(columns, cells):
+        size = sizes[column] = sum(n for _, n, _, _ in counted)
         ranks = {r for p in probabilities for r in _ranks(size, p)[:2]} if size else set()
-        pending += [_Search(column, r, size) for r in sorted(ranks)]
-
+        for rank in sorted(ranks):
+            _settle(column, rank, rank, counted, found, pending)
     while pending:
-        _narrow(df, pending, found)
-        pending = [s for s in pending if (s.column, s.rank) not in found]
+        # Ranks that still share a cell share its count.
+        brackets = list(dict.fromkeys((column, bracket) for column, _, _, bracket in pending))
+        counted = dict(zip(brackets, _count_cells(df, brackets)))
+        searches, pending = pending, []
+        for column, rank, offset, bracket in searches:
+            _settle(column, rank, offset, counted[column, bracket], found, pending)
 
     result: dict[str, dict[float, float | None]] = {}
     for column, size in sizes.items():
@@ -119,7 +111,7 @@ def exact_quantiles(
                 continue
             low, high, share = _ranks(size, p)
             a, b = found[column, low], found[column, high]
-            result[column][p] = a if low == high else a + (b - a) * share
+            result[column][p] = a if low == high or a == b else a + (b - a) * share
     return result
 
 
@@ -129,44 +121,46 @@ def _ranks(size: int, probability: float) -> tuple[int, int, float]:
     return low, math.ceil(position), position - low
 
 
-def _narrow(df: DataFrame, searches: list[_Search], found: dict) -> None:
-    """Shrink each bracket around its rank, or hit the value itself. Ranks that
-    still share a bracket share its sketch."""
-    slack = 2.0 / SKETCH_ACCURACY
-    brackets: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        brackets.setdefault((s.column, s.low, s.high), []).append(s)
-    sketches = []
-    for i, group in enumerate(brackets.values()):
-        shares = [x for s in group for x in (max(0.0, s.offset / s.rows - slack), min(1.0, s.offset / s.rows + slack))]
-        sketches.append(F.percentile_approx(group[0].value(), shares, SKETCH_ACCURACY).alias(f"c{i}"))
-    row = df.agg(*sketches).first()
-    cuts = {}
-    for i, group in enumerate(brackets.values()):
-        for k, s in enumerate(group):
-            cuts[id(s)] = row[f"c{i}"][2 * k : 2 * k + 2]
-    counts = []
-    for i, s in enumerate(searches):
-        (a, b), v = cuts[id(s)], s.value()
-        counts += [
-            F.count_if(v < a).alias(f"below{i}"),
-            F.count_if(v == a).alias(f"at{i}"),
-            F.count_if((v > a) & (v < b)).alias(f"in{i}"),
-            F.count_if((v == b) & (v > a)).alias(f"top{i}"),
-        ]
-    row = df.agg(*counts).first()
-    for i, s in enumerate(searches):
-        a, b = cuts[id(s)]
-        below, at, inside, top = (row[f"{k}{i}"] for k in ("below", "at", "in", "top"))
-        left = s.offset
-        if left < below:
-            s.high, s.rows = a, below
-        elif left < below + at:
-            found[s.column, s.rank] = a
-        elif left < below + at + inside:
-            s.low, s.high, s.rows, s.offset = a, b, inside, left - below - at
-        elif left < below + at + inside + top:
-            found[s.column, s.rank] = b
-        else:
-            passed = below + at + inside + top
-            s.low, s.rows, s.offset = b, s.rows - passed, left - passed
+def _cell(value: Column, bracket: tuple[float, float] | None) -> Column:
+    """Number of the cell a value falls into; NULL outside the bracket. Never
+    falls as the value grows."""
+    infinite = F.abs(value) == float("inf")
+    if bracket is None:
+        step = F.floor(F.signum(value) * F.log1p(F.abs(value)) * STEPS)
+        return F.when(F.isnan(value), 10**6).when(infinite, F.signum(value) * (10**6 - 1)).otherwise(step).cast("int")
+    low, high = bracket
+    # Halved where the width itself would overflow.
+    scale = 0.5 if math.isinf(high - low) else 1.0
+    share = (value * scale - low * scale) / F.lit(high * scale - low * scale)
+    inside = F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")
+    return F.when(value.between(low, high), inside)
+
+
+def _count_cells(
+    df: DataFrame, brackets: Sequence[tuple[str, tuple[float, float] | None]]
+) -> list[list[tuple[int, int, float, float]]]:
+    """Cells of each bracket in order: (cell, rows, smallest, largest value)."""
+    entries = []
+    for i, (column, bracket) in enumerate(brackets):
+        value = F.col(f"`{column}`").cast("double")
+        entries.append(F.struct(F.lit(i).alias("i"), value.alias("v"), _cell(value, bracket).alias("cell")))
+    values = df.select(F.explode(F.array(*entries)).alias("_entry")).select("_entry.*")
+    counted = values.filter("cell IS NOT NULL").groupBy("i", "cell").agg(
+        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    )
+    cells: list[list[tuple[int, int, float, float]]] = [[] for _ in brackets]
+    for i, cell, n, low, high in sorted(counted.filter("n > 0").collect(), key=lambda r: (r[0], r[1])):
+        cells[i].append((cell, n, low, high))
+    return cells
+
+
+def _settle(column: str, rank: int, offset: int, cells: list, found: dict, pending: list) -> None:
+    """The value of a rank where its cell holds one, else the cell to cut."""
+    for _, n, low, high in cells:
+        if offset < n:
+            if low == high or math.isnan(high):
+                found[column, rank] = low
+            else:
+                pending.append((column, rank, offset, (low, high)))
+            return
+        offset -= n

@@ -282,9 +282,8 @@ def encoded_features(matrix: DataFrame, kind: str) -> DataFrame:
 
 
 def one_hot_features(matrix: DataFrame) -> DataFrame:
-    fitted = features.fit_features(matrix)
-    encoded = encoded_features(matrix, "origination")
-    return encoded.drop(*[_slug(n) for n in fitted.numeric])
+    fitted = features.FeatureSet((), {}, features.category_levels(matrix, MODEL_DEFAULT.categorical), MODEL_DEFAULT.binary)
+    return matrix.select("loan_id", *fitted.columns()).toDF("loan_id", *[_slug(n) for n in fitted.names])
 
 
 def behavioral_features(matrix: DataFrame) -> DataFrame:

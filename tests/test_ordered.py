@@ -1,9 +1,11 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loanbook.functions import ordered
 from loanbook.functions.ordered import exact_quantiles, running_totals
 from loanbook.operators.scoring import auc, lift_table, score_curve
 
@@ -30,6 +32,45 @@ def test_quantiles_equal_a_full_sort(spark, kind):
         assert got[p] == pytest.approx(float(np.quantile(known, p)), rel=1e-12, abs=1e-9)
 
 
+@pytest.mark.parametrize(
+    "values",
+    [
+        [-1.7e308, 1.7e308, 0.0, -0.0, 5e-324, 1e-300, -5e-324],
+        [float("-inf"), 1.0, 2.0, 3.0, float("inf")],
+        [1.0 + k * 2.0**-52 for k in range(40)] + [1e12],
+        [-3.5, -3.25, -1e-9, 1e-9, 7.0, 7.0],
+        [10.0**k for k in range(-300, 300)],
+    ],
+)
+def test_quantiles_of_any_range(spark, values):
+    df = spark.createDataFrame([(v, v) for v in values], "v double, w double").repartition(3)
+    whole = [k / (len(values) - 1) for k in range(len(values))][:60]
+    got = exact_quantiles(df, ["v", "w", "v"], whole)
+    for k, p in enumerate(whole):
+        low, high = sorted(values)[math.floor(p * (len(values) - 1))], sorted(values)[math.ceil(p * (len(values) - 1))]
+        assert low <= got["v"][p] <= high and got["v"][p] == got["w"][p]
+
+
+def test_quantiles_take_few_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.lognormvariate(11, 1), rng.randrange(300, 850), round(rng.uniform(2, 9), 3)) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, "balance double, score int, rate double").repartition(6)
+    passes = []
+    count = ordered._count_cells
+    monkeypatch.setattr(ordered, "_count_cells", lambda *a: passes.append(1) or count(*a))
+    got = exact_quantiles(df, df.columns, [0.05, 0.5, 0.95])
+    assert len(passes) <= 4
+    for i, c in enumerate(df.columns):
+        for p, value in got[c].items():
+            assert value == pytest.approx(float(np.quantile([r[i] for r in rows], p)), rel=1e-12)
+
+
+def test_nan_is_the_largest_value(spark):
+    df = spark.createDataFrame([(v,) for v in (float("nan"), 1.0, 2.0)], "v double")
+    got = exact_quantiles(df, ["v"], [0.0, 0.5, 1.0])["v"]
+    assert got[0.0] == 1.0 and got[0.5] == 2.0 and math.isnan(got[1.0])
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert exact_quantiles(df, ["v"], [0.5]) == {"v": {0.5: None}}

@@ -590,3 +590,28 @@ def test_neighbour_query_recall(spark):
     for r in queries.op10_ann(spark, SMALL).collect():
         found[r.query_id].add(r.vec_id)
     assert sum(len(found[q] & set(v)) for q, v in expected.items()) / sum(map(len, expected.values())) >= 0.9
+
+
+def test_scores_equal_brute_force_and_keep_columns_of_any_name(spark):
+    """Only cells go to Python: every other column passes through, and each row has the score of its own cells."""
+    texts = [None, "", " \t", "pairs of words", "words of pairs", "words of pairs", "seeding seeded seeds seeder " * 3000]
+    rows = [(i, t, f"c{i}", [i], "old") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cells string, _terms array<int>, score string")
+    size = 64
+    rng = np.random.default_rng(3)
+    cells = np.arange(0, size, 2, dtype=np.int32)
+    machine = toxicity.Machine(-0.3, rng.normal(0, 1, len(cells)), rng.normal(0, 0.5, (len(cells), 4)), cells, size)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, machine).collect()}
+    cut = {r["doc_id"]: r["own"] for r in toxicity.with_term_cells(docs, "text", size, "own").collect()}
+    assert len(got) == len(rows)
+    for i, text, name, terms, _ in rows:
+        places = [c // 2 for c in cut[i] if c % 2 == 0]
+        margin = machine.bias + sum(machine.weights[p] for p in places)
+        margin += sum(machine.factors[p] @ machine.factors[q] for k, p in enumerate(places) for q in places[k + 1:])
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-margin))) < 1e-9
+        assert (got[i]["text"], got[i]["_cells"], got[i]["_terms"]) == (text, name, terms)
+    assert got[3]["score"] == got[4]["score"] == got[5]["score"] and cut[0] == cut[1] == cut[2] == []
+    # The score also survives plans that drop the text or filter on it.
+    kept = toxicity.score(docs, machine).filter("score >= 0.5").select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == {i for i, r in got.items() if r["score"] >= 0.5}
+    assert toxicity.score(docs.limit(0), machine).count() == 0

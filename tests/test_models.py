@@ -165,3 +165,12 @@ def test_all_recommendations(spark):
         "Vintage Risk", "Geographic Concentration", "Segment Concentration", "Loss Mitigation Effectiveness", "Risk Scoring Opportunity",
     ]
     assert recommendation_text(recs).filter("text is null").count() == 0
+
+
+def test_few_training_tasks(spark, origination):
+    """Every task hands over the statistics of all nodes: tasks follow cores and loans, not shuffle partitions."""
+    from loanbook.operators import models
+
+    assert models.training_tasks(900_000, 12) == 12
+    assert models.training_tasks(27_000_000, 12) == 54
+    assert models.training_tasks(0, 4) == 4

@@ -95,3 +95,20 @@ def test_settings_from_a_file_change_what_is_judged(loans, tmp_path):
     path.write_text("no_such_setting: 1\n")
     with pytest.raises(KeyError):
         TapeConfig.from_yaml(str(path))
+
+
+def test_exports_read_loans_that_were_derived_once(spark, monkeypatch):
+    """The loans are written down in methods small enough to be compiled before seven exports read them."""
+    from loanbook import registry
+    from loanbook.functions import ordered
+
+    limits, exported = [], []
+    loans, kept = spark.range(3), spark.range(2)
+    monkeypatch.setattr(registry, "staged", lambda df: limits.append((df, spark.conf.get(ordered.METHOD_LIMIT_CONF))) or kept)
+    monkeypatch.setattr(registry, "_new_folder", lambda spark, name: "/nowhere")
+    monkeypatch.setattr(registry.testtables, "loans", lambda spark, sf_dir: loans)
+    monkeypatch.setattr(registry.portfolio, "vintage_comparison", lambda df: df)
+    monkeypatch.setattr(registry.export, "export_dashboard", lambda df, folder: exported.append(df))
+    monkeypatch.setattr(registry.export, "read_result", lambda *a: None)
+    registry.exported_csv(spark, "/nowhere")
+    assert limits == [(loans, ordered.METHOD_LIMIT)] and exported == [kept]

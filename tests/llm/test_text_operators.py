@@ -147,6 +147,43 @@ def test_every_shared_run_of_fifty_words_is_found(spark, texts):
     assert shared <= {r.doc_id for r in found} | {r.source_doc_id for r in found}
 
 
+def test_passages_of_frequent_pieces_of_replaced_words_and_far_apart_are_found(spark):
+    rng, rows, pairs = random.Random(6), [], []
+    words = lambda n: [f"w{rng.randint(0, 30000)}" for _ in range(n)]
+
+    def pair(a, b):
+        pairs.append((len(rows), len(rows) + 1))
+        rows.extend([(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))])
+
+    for _ in range(40):  # identity 0.8 to 0.85, first and last word equal
+        length, changed = rng.choice([(50, 9), (60, 12), (80, 16)])
+        passage, fuzzy = words(length), []
+        put = set(rng.sample(range(1, length - 1), changed))
+        fuzzy = [f"z{rng.random()}" if n in put else w for n, w in enumerate(passage)]
+        pair(words(20) + passage + words(30), words(50) + fuzzy + words(10))
+    for _ in range(10):  # too much lies between the two passages
+        one, two = words(50), words(50)
+        pair(words(5) + one + words(150) + two, words(30) + one + words(170) + two + words(9))
+    lines = [words(30) for _ in range(12)]
+    for _ in range(20):  # lines of many texts, too short alone
+        one, two = rng.sample(lines, 2)
+        pair(words(20) + one + two + words(9), words(40) + one + two + words(19))
+    rows += [(len(rows) + n, " ".join(words(20) + line + words(9))) for n, line in enumerate(lines * 20)]
+    found = {frozenset((r.doc_id, r.source_doc_id)) for r in passages.repeated_passages(documents(spark, rows).repartition(3)).collect()}
+    assert sum(frozenset(p) in found for p in pairs[:40]) >= 39
+    assert all(frozenset(p) in found for p in pairs[40:])
+
+
+def test_common_words_equal_plain_longest_common_subsequence():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, rng.integers(0, 30)), rng.integers(0, 6, rng.integers(0, 90))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in np.ndindex(len(a), len(b)):
+            best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        assert passages.common_words(a, b) == best[-1, -1]
+
+
 def test_chains_equal_quadratic_chaining():
     rng = np.random.default_rng(2)
     for _ in range(30):

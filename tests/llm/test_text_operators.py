@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,71 @@ def test_passages_of_frequent_pieces_of_replaced_words_and_far_apart_are_found(s
     assert all(frozenset(p) in found for p in pairs[40:])
 
 
+def plain_words(text):
+    """Hashes of the words of one text, byte by byte."""
+    mixed = lambda n: int(passages._mixed(np.array([n % 2**64], np.uint64))[0])
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return np.array([mixed(sum((b + 1) * (mixed((n + 1) * 0x9E3779B97F4A7C15) | 1) for n, b in enumerate(w)) + len(w)) for w in words], np.uint64)
+
+
+def plain_seeds(words):
+    """(length, place) of the leftmost least run of every so many neighbours."""
+    found = set()
+    for length, window in ((passages.K, passages.WINDOW), *((n, passages.LONG_WINDOW) for n in passages.LONG)):
+        if len(words) >= length:
+            runs = passages.runs_of({1: words}, length)
+            for n in range(max(1, len(runs) - window + 1)):
+                found.add((length, n + int(np.argmin(runs[n : n + window]))))
+    return found
+
+
+def test_words_and_seeds_of_many_texts_equal_those_of_each():
+    rng = random.Random(8)
+    texts = ["", " \t", None, "a", "A b c D e", " Ünï İ x\x0bc\x1fd \u00a0 e ", "z" * 300, "", *(" ".join(rng.choices("abcd", k=n)) for n in (4, 5, 6, 11, 12, 13, 20, 21, 22, 30, 31, 32, 40, 41, 200)), "  "]
+    every = pa.array([None, "before", *texts, "after"])
+    words, bounds = passages.words_of(every.slice(2, len(texts)))
+    each = [plain_words(t) for t in texts]
+    assert bounds.tolist() == np.cumsum([0, *map(len, each)]).tolist() and np.array_equal(words, np.concatenate(each))
+    got = Counter()
+    for length, own, text, at in passages.seeds_of(words, bounds):
+        runs = {n: passages.runs_of({1: each[n]}, length) for n in set(text.tolist())}
+        assert all(runs[n][k] == h for h, n, k in zip(own, text.tolist(), at.tolist(), strict=True))
+        got.update((n, length, k) for n, k in zip(text.tolist(), at.tolist(), strict=True))
+    assert got == Counter((n, *s) for n, w in enumerate(each) for s in plain_seeds(w))
+
+
+def test_portions_are_bounded_and_whole():
+    rng = np.random.default_rng(1)
+    for sizes in (np.array([], np.int32), np.zeros(5, np.int32), np.array([2**30] * 9, np.int32), rng.integers(0, 50, 300)):
+        found = list(passages._portions(sizes, 100))
+        assert [n for i, j in found for n in range(i, j)] == list(range(len(sizes)))
+        assert all(sizes[i + 1 : j].sum() <= 100 for i, j in found)
+
+
+def test_matches_go_in_blocks_and_are_all_places_of_rare_seeds(spark):
+    rng, parts = random.Random(9), 3
+    words = lambda n: [f"w{rng.randint(0, 30000)}" for _ in range(n)]
+    passage = words(150)
+    texts = {2**62 // 5 * (n - 5): " ".join(words(20) + passage + words(n)) for n in range(10)}
+    frame = spark.createDataFrame(list(texts.items()), "tid long, text string").repartition(4)
+    blocks = passages.matches(passages.seeds(frame, parts), parts).collect()
+    assert len(blocks) <= parts * parts * passages.SLICES  # not a row for each match
+    whole = lambda low, high: [h << 16 | v & 0xFFFF for v, h in zip(low, high, strict=True)]
+    got = {m for b in blocks for m in zip(b.rids, whole(b.low, b.high), b.sources, whole(b.source_low, b.source_high), strict=True)}
+    places = defaultdict(list)
+    for tid, text in sorted(texts.items()):
+        hashes = plain_words(text)
+        for length, at in plain_seeds(hashes):
+            places[tuple(text.split()[at : at + length])].append((tid, at))
+    expected = {(t, x + off, s, y + off) for run, p in places.items() for t, x in p for s, y in p if s < t for off in (0, len(run) - passages.K)}
+    assert got == expected and len(got) > 45 * 100
+    slices = defaultdict(set)
+    for b in blocks:
+        for tid in b.rids:
+            slices[tid].add((b.part, b.slice))
+    assert all(len(s) == 1 for s in slices.values())
+
+
 def test_common_words_equal_plain_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(50):

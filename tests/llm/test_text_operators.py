@@ -240,6 +240,37 @@ def test_matches_go_in_blocks_and_are_all_places_of_rare_seeds(spark):
     assert all(len(s) == 1 for s in slices.values())
 
 
+def test_units_match_both_ends_of_every_run_however_frequent(monkeypatch):
+    monkeypatch.setattr(passages, "TILE", 5)
+    monkeypatch.setattr(passages, "PAIRS", 3)
+    monkeypatch.setattr(passages, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 4, 5, 6, 23, 90, 2]
+    key = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    columns = [key, *(rng.integers(0, 4, len(key)).astype(np.int32) for _ in range(2)), rng.integers(0, 30, len(key)).astype(np.int64), np.arange(len(key))]
+    key, before, after, text, row = (c[np.lexsort(columns[::-1])] for c in columns)
+    got = Counter()
+    for split, rows in passages.tiles(key, before, after):
+        assert len(rows) <= 2 * passages.TILE or len(set(key[rows])) > 1
+        for i, j in passages.matched(key[rows], text[rows], before[rows], after[rows], split):
+            assert (text[rows[i]] > text[rows[j]]).all()
+            got.update(zip(rows[i].tolist(), rows[j].tolist(), strict=True))
+    every = {(i, j) for i in range(len(key)) for j in range(len(key)) if key[i] == key[j] and text[i] > text[j]}
+    inner = {(i, j) for i, j in every if sizes[key[i]] > 3 and before[i] == before[j] != 0 and after[i] == after[j] != 0}
+    assert max(got.values()) == 1 and every - inner <= set(got) <= every and len(got) < len(every)
+
+
+def test_a_passage_of_very_many_texts_links_all_of_them(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randint(0, 30000)}" for _ in range(n)]
+    lines = [words(23) for _ in range(2)]
+    rows = [(n, " ".join(words(20) + lines[0] + lines[1] + words(9))) for n in range(70)]
+    rows += [(100 + n, " ".join(words(12) + lines[n % 2] + words(n % 7))) for n in range(150)]  # each line alone is too short
+    found = passages.repeated_passages(documents(spark, rows).repartition(3)).collect()
+    assert {frozenset((r.doc_id, r.source_doc_id)) for r in found} == {frozenset((a, b)) for a in range(70) for b in range(a)}
+    assert {r.start for r in found} == {20} and {r.end for r in found} == {66}
+
+
 def test_common_words_equal_plain_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(50):

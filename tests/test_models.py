@@ -174,3 +174,22 @@ def test_few_training_tasks(spark, origination):
     assert models.training_tasks(900_000, 12) == 12
     assert models.training_tasks(27_000_000, 12) == 54
     assert models.training_tasks(0, 4) == 4
+
+
+def test_training_waves_are_even():
+    from loanbook.operators import models
+
+    assert [models.even_waves(n, 12) for n in (1, 12, 18, 54, 108)] == [12, 12, 24, 60, 108]
+
+
+def test_matrix_is_written_by_all_cores(spark):
+    """A forest scores a loan in tenths of a millisecond, in as many tasks as the matrix has files."""
+    from conftest import SMALL
+
+    from loanbook import registry
+    from loanbook.sources import testtables
+
+    matrix = registry._matrix(spark, SMALL)
+    assert len(matrix.inputFiles()) >= spark.sparkContext.defaultParallelism
+    plain = feature_matrix(testtables.loans(spark, SMALL))
+    assert matrix.exceptAll(plain).isEmpty() and plain.exceptAll(matrix).isEmpty()
